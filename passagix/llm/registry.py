@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passagix.llm.fingerprints import op9_document_fingerprints
+from passagix.llm.langid import op4_language_id
+from passagix.llm.licenses import op1_license_scan
+from passagix.llm.mixing import OP3_SQL, op3_source_mixing
 from passagix.llm.simhash import op6_simhash_near_dedup
 from passagix.llm.tokens import op7_token_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_simhash_near_dedup, op7_token_counts, op9_document_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op3_source_mixing,
+        op4_language_id,
+        op6_simhash_near_dedup,
+        op7_token_counts,
+        op9_document_fingerprints,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL}
