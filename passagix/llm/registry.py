@@ -12,6 +12,7 @@ from passagix.llm.licenses import op1_license_scan
 from passagix.llm.mixing import OP3_SQL, op3_source_mixing
 from passagix.llm.simhash import op6_simhash_near_dedup
 from passagix.llm.tokens import op7_token_counts
+from passagix.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_license_scan,
         op3_source_mixing,
         op4_language_id,
+        op5_toxicity,
         op6_simhash_near_dedup,
         op7_token_counts,
         op9_document_fingerprints,
