@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from passagix.llm.ann import op2_nearest_neighbours
 from passagix.llm.fingerprints import op9_document_fingerprints
 from passagix.llm.langid import op4_language_id
 from passagix.llm.licenses import op1_license_scan
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan,
+        op2_nearest_neighbours,
         op3_source_mixing,
         op4_language_id,
         op5_toxicity,
