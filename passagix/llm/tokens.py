@@ -11,6 +11,7 @@ import base64
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
@@ -129,6 +130,6 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, text: str = "
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Counts by byte_bpe_50k.json, cached in the shared folder for as long as the application runs."""
-    at = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/token_counts"
+    """Counts by byte_bpe_50k.json. Each call starts an empty cache, so that what it costs is the whole job; name one of your own to keep it."""
+    at = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/token_counts-{uuid.uuid4().hex[:12]}"
     return count_tokens(table(spark, sf_dir, "documents"), at, public("byte_bpe_50k.json"))
