@@ -11,6 +11,7 @@ from passagix.llm.fingerprints import op9_document_fingerprints
 from passagix.llm.langid import op4_language_id
 from passagix.llm.licenses import op1_license_scan
 from passagix.llm.mixing import OP3_SQL, op3_source_mixing
+from passagix.llm.packing import op8_best_fit_packing
 from passagix.llm.simhash import op6_simhash_near_dedup
 from passagix.llm.tokens import op7_token_counts
 from passagix.llm.toxicity import op5_toxicity
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_toxicity,
         op6_simhash_near_dedup,
         op7_token_counts,
+        op8_best_fit_packing,
         op9_document_fingerprints,
     )
 }
