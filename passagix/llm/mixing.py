@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagix.llm.common import own_name, table
+from passagix.llm.common import own_name, settled, table
 
 #: Weights by turns of the sources, the share of all sizes that is taken, the most a source repeats.
 WEIGHTS, TOTAL_SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -118,61 +118,73 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return nodes.select((F.col("node") - (1 << depth)).cast("int").alias("shard"), F.posexplode("q").alias("at", "quota"))
 
 
-def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, depth: int = DEPTH) -> DataFrame:
-    """docs with size, source_size, target, taken, and offset, length, first_pass, rest, block_words, quota, ends (see mix). Names of clashing columns get '_'.
-
-    Null is a source of its own, after all others. Null and empty texts have size 0 and are taken 0 times.
-    Rows that repeat are documents of their own. Each source's taken words are its target, rounded.
-    """
-    h, b, key = own_name(docs, "__hash"), own_name(docs, "__bucket"), own_name(docs, "__source")
-    size = own_name(docs, "size")
-    rows = docs.withColumn(size, size_of(text)).withColumn(h, order_of(doc_id, seed)).withColumn(b, F.shiftright(F.col(h), HASH_BITS - BUCKET_BITS).cast("int"))
-    rows = rows.withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")))
-    buckets = rows.groupBy(key, b).agg(F.first(F.col(source).cast("string")).alias("source"), F.sum(size).alias("words"))
+def _plan(docs: DataFrame, doc_id: str, text: str, source: str, seed: int, depth: int) -> DataFrame:
+    """docs with size, source_size, target, taken, passes, over, offset, block_words, quota, ends, each under a leading '__'."""
+    zero = F.lit(0).cast("long")
+    rows = docs.withColumn("__size", size_of(text)).withColumn("__h", order_of(doc_id, seed)).withColumn("__text_h", F.xxhash64(text))
+    rows = rows.withColumn("__bucket", F.shiftright("__h", HASH_BITS - BUCKET_BITS).cast("int")).withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")))
+    buckets = rows.groupBy("__key", "__bucket").agg(F.first(F.col(source).cast("string")).alias("source"), F.sum("__size").alias("words"))
     sums = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     goals = targets(sums).withColumn("whole", F.round("target").cast("long"))
     block = F.greatest(F.lit(LEAST_BLOCK).cast("long"), F.ceil(F.sum("whole").over(Window.partitionBy()) / BLOCKS))
     goals = goals.withColumn("block_words", block).withColumn("quota", F.ceil(F.col("whole") / F.col("block_words"))).withColumn("at", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    shares = split_quotas(goals.select("source", "quota"), depth, seed)
-    ends = shares.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("by_shard"))
-    so_far = F.aggregate("by_shard", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0).cast("long")) + x["quota"])))
+    # The tree's draws are made once, whatever reads them.
+    goals = settled(goals, "goals")
+    ends = split_quotas(goals.select("source", "quota"), depth, seed).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("by_shard"))
+    so_far = F.aggregate("by_shard", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), zero) + x["quota"])))
     goals = goals.join(ends.withColumn("ends", so_far).select("at", "ends"), "at", "left")
-    before = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    placed = buckets.withColumn("skip", F.coalesce(F.sum("words").over(before), F.lit(0).cast("long"))).select(key, b, "skip", F.col("source").alias("__s"))
+    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     names = ["source_size", "target", "whole", "block_words", "quota", "ends"]
-    aside = {c: own_name(docs, c) for c in names}
-    placed = placed.join(goals, F.col("__s").eqNullSafe(F.col("source"))).select(F.col(key).alias("__k"), F.col(b).alias("__b"), F.col("skip").alias("__skip"), *(F.col(c).alias(f"__{c}") for c in names))
-    joined = rows.join(placed, (F.col(key) == F.col("__k")) & (F.col(b) == F.col("__b")))
-    inner = Window.partitionBy(key, b).orderBy(h, doc_id, size, F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
-    joined = joined.withColumn("__offset", F.col("__skip") + F.coalesce(F.sum(size).over(inner), F.lit(0).cast("long")))
-    passes = F.when(F.col("__source_size") > 0, F.floor(F.col("__whole") / F.col("__source_size"))).otherwise(0)
-    joined = joined.withColumn("__passes", passes.cast("long"))
-    over = F.greatest(F.lit(0).cast("long"), F.least(F.col(size), F.col("__whole") - F.col("__passes") * F.col("__source_size") - F.col("__offset")))
-    joined = joined.withColumn("__over", over)
-    out = {"source_size": "__source_size", "target": "__target", "block_words": "__block_words", "quota": "__quota", "ends": "__ends", "offset": "__offset", "passes": "__passes", "over": "__over"}
-    return joined.withColumn("__taken", F.col("__passes") * F.col(size) + F.col("__over")).select(*docs.columns, F.col(size), F.col("__taken").alias(own_name(docs, "taken")), *(F.col(c).alias(own_name(docs, n)) for n, c in out.items()))
+    placed = buckets.withColumn("skip", F.coalesce(F.sum("words").over(before), zero)).withColumnRenamed("source", "s")
+    placed = placed.join(goals, F.col("s").eqNullSafe(F.col("source"))).select("__key", "__bucket", F.col("skip").alias("__skip"), *(F.col(c).alias(f"__{c}") for c in names))
+    joined = rows.join(placed, ["__key", "__bucket"])
+    inner = Window.partitionBy("__key", "__bucket").orderBy("__h", doc_id, "__size", "__text_h").rowsBetween(Window.unboundedPreceding, -1)
+    joined = joined.withColumn("__offset", F.col("__skip") + F.coalesce(F.sum("__size").over(inner), zero))
+    joined = joined.withColumn("__passes", F.when(F.col("__source_size") > 0, F.floor(F.col("__whole") / F.col("__source_size"))).otherwise(0).cast("long"))
+    over = F.greatest(zero, F.least(F.col("__size"), F.col("__whole") - F.col("__passes") * F.col("__source_size") - F.col("__offset")))
+    return joined.withColumn("__over", over).withColumn("__taken", F.col("__passes") * F.col("__size") + F.col("__over"))
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, ..., which clash with nothing, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, depth: int = DEPTH) -> DataFrame:
+    """docs with size, source_size, target and taken; where docs has such a name itself, the new one ends in '_'.
+
+    Null is a source of its own, after all others. Null and empty texts have size 0 and are taken 0 times.
+    Rows that repeat are documents of their own. Each source's taken words are its target, rounded: whole
+    documents but for the one at the end of the target. An empty table gives an empty one.
+    """
+    rows, names = _numbered(docs)
+    plan = _plan(rows, names[doc_id], names[text], names[source], seed, depth)
+    return plan.select(*(F.col(n).alias(c) for c, n in names.items()), *(F.col(f"__{c}").alias(own_name(docs, c)) for c in ("size", "source_size", "target", "taken")))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, depth: int = DEPTH) -> DataFrame:
     """The mix itself: a row for each time that a document is taken, with docs' columns, copy (from 0), shard, and place, its order in the shard.
 
     A document that the end of a source's target cuts is taken if at least half of it lies before the end;
-    documents without a word are taken once. Sorted by place within each shard: sort by (shard, place).
+    documents without a word are taken once. Sort a shard by place: that is its local shuffle.
     """
-    if set(c.lower() for c in docs.columns) & {"size", "taken", "source_size", "target", "block_words", "quota", "ends", "offset", "passes", "over", "copy", "shard", "place"}:
-        raise ValueError("rename the columns of docs that the plan adds")
-    plan = mix_plan(docs, doc_id, text, source, seed, depth)
-    copies = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.col("passes") + (F.col("over") * 2 >= F.col("size")).cast("long"))
-    dealt = plan.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    number = F.floor((F.col("copy") * F.col("source_size") + F.col("offset")) / F.col("block_words"))
-    number = F.least(F.greatest(number, F.lit(0).cast("long")), F.greatest(F.col("quota") - 1, F.lit(0).cast("long")))
+    rows, names = _numbered(docs)
+    plan = _plan(rows, names[doc_id], names[text], names[source], seed, depth)
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    copies = F.when(F.col("__size") == 0, one).otherwise(F.col("__passes") + (F.col("__over") * 2 >= F.col("__size")).cast("long"))
+    dealt = plan.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(zero, F.col("__copies") - 1)))
+    number = F.floor((F.col("__copy") * F.col("__source_size") + F.col("__offset")) / F.col("__block_words"))
+    number = F.least(F.greatest(number, zero), F.greatest(F.col("__quota") - 1, zero))
     prime = F.lit(PRIMES[-1]).cast("long")
     for p in PRIMES[-2::-1]:
-        prime = F.when(F.col("quota") % p != 0, F.lit(p).cast("long")).otherwise(prime)
-    drawn = F.when(F.col("quota") > 0, F.pmod(number * prime + F.pmod(F.xxhash64(F.lit(seed), F.col(source)), F.lit(1 << 31)), F.greatest("quota", F.lit(1).cast("long")))).otherwise(F.lit(0).cast("long"))
-    dealt = dealt.withColumn("drawn", drawn)
-    shard = F.aggregate("ends", F.lit(0), lambda a, e: a + F.when(e <= F.col("drawn"), 1).otherwise(0))
-    return dealt.withColumn("shard", F.coalesce(F.least(shard, F.lit((1 << depth) - 1)), F.lit(0))).withColumn("place", F.xxhash64(F.lit(seed + 1), F.col(doc_id), F.col("copy"))).select(*docs.columns, "copy", "shard", "place")
+        prime = F.when(F.col("__quota") % p != 0, F.lit(p).cast("long")).otherwise(prime)
+    drawn = F.pmod(number * prime + F.pmod(F.xxhash64(F.lit(seed), "__key"), F.lit(1 << 31)), F.greatest("__quota", one))
+    dealt = dealt.withColumn("__drawn", drawn)
+    shard = F.aggregate("__ends", F.lit(0), lambda a, e: a + F.when(e <= F.col("__drawn"), 1).otherwise(0))
+    shard = F.coalesce(F.least(shard, F.lit((1 << depth) - 1)), F.lit(0))
+    place = F.xxhash64(F.lit(seed + 1), names[doc_id], "__copy")
+    return dealt.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("__copy").alias(own_name(docs, "copy")), shard.alias(own_name(docs, "shard")), place.alias(own_name(docs, "place")))
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
