@@ -10,6 +10,7 @@ from passagix.llm.ann import op2_nearest_neighbours
 from passagix.llm.fingerprints import op9_document_fingerprints
 from passagix.llm.langid import op4_language_id
 from passagix.llm.licenses import op1_license_scan
+from passagix.llm.lines import OP10_SQL, op10_line_dedup
 from passagix.llm.mixing import OP3_SQL, op3_source_mixing
 from passagix.llm.packing import op8_best_fit_packing
 from passagix.llm.simhash import op6_simhash_near_dedup
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_token_counts,
         op8_best_fit_packing,
         op9_document_fingerprints,
+        op10_line_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL}

@@ -312,6 +312,19 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", t
     return docs.select(F.col(doc_id).alias("doc_id"), (~train_part(doc_id)).alias("held_out"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def reject_toxic(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text stays below the threshold; null and empty texts stay."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([sent.value.score(x)[0] < THRESHOLD for x in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of the documents that have labels and may be learned from; of several labels of one id the largest counts."""
     known = labels.where(train_part() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
