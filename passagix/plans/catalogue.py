@@ -1,6 +1,479 @@
-"""Named queries over the supplied tables and the SQL that each must equal."""
+"""Named queries over the supplied tables and the SQL that each must equal.
+
+Queries of the lexical leg are the first eight tokens of the benchmark's items, or of the documents that
+share an id with every fiftieth vector; judgments are the two substitutes that are described below. Doubles
+are rounded to six places, as sums of another order differ in the last bits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passagix.functions.text import STOPWORDS, chunk_tokens, tokens
+from passagix.operators import acl, bm25, chunking, fusion, metrics, postings, vectors
+
+ALPHAS = [i / 10 for i in range(11)]
+ROLES = list(acl.SHARES)
+NPROBES = [1, 4, 8, 16]
+TERM = "thon"
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark, sf):
+    return _t(spark, sf, "documents")
+
+
+def _index(spark, sf):
+    d = _docs(spark, sf)
+    lens = postings.lengths(d)
+    return postings.postings(d), lens, postings.corpus_stats(lens)
+
+
+def _item_terms(spark, sf):
+    return bm25.query_terms(_t(spark, sf, "benchmark"), "item_id", "text", 8)
+
+
+def _r(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    for c in columns:
+        df = df.withColumn(c, F.round(c, places))
+    return df
+
+
+def tokenize(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(tokens("text")).alias("n_tokens"), F.array_join(tokens("text"), " ").alias("tokens"))
+
+
+def chunk_tokenize(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(chunk_tokens("text")).alias("n_tokens"), F.array_join(chunk_tokens("text"), " ").alias("tokens"))
+
+
+def chunk_passage(spark, sf):
+    return chunking.chunk_passages(_docs(spark, sf))
+
+
+def chunk_corpus(spark, sf):
+    return chunking.chunk_map(chunking.chunk_passages(_docs(spark, sf)))
+
+
+def build_postings(spark, sf):
+    return postings.postings(_docs(spark, sf))
+
+
+def posting_list(spark, sf):
+    return postings.posting_list(postings.postings(_docs(spark, sf)), TERM)
+
+
+def vocab(spark, sf):
+    return postings.vocabulary(postings.postings(_docs(spark, sf)))
+
+
+def corpus_stats(spark, sf):
+    return _r(postings.corpus_stats(postings.lengths(_docs(spark, sf))), "avgdl")
+
+
+def doc_freq_idf(spark, sf):
+    index, _, stats = _index(spark, sf)
+    return _r(postings.idf(postings.document_frequencies(index), stats), "idf")
+
+
+def merge_index(spark, sf):
+    d = _docs(spark, sf)
+    return postings.merged([postings.postings(d.where(F.col("doc_id") % 4 == i)) for i in range(4)])
+
+
+def vbyte_posting_size(spark, sf):
+    return postings.vbyte_sizes(postings.postings(_docs(spark, sf)))
+
+
+def bm25_score(spark, sf):
+    """One document (the one of id 1) against every query."""
+    d = _docs(spark, sf)
+    return _r(bm25.score_batch(*_index(spark, sf), _item_terms(spark, sf), d.where("doc_id = 1").select("doc_id")), "score")
+
+
+def bm25_score_batch(spark, sf):
+    """A third of the documents as candidates."""
+    d = _docs(spark, sf)
+    return _r(bm25.score_batch(*_index(spark, sf), _item_terms(spark, sf), d.where("doc_id % 3 = 0").select("doc_id")), "score")
+
+
+def bm25_topk(spark, sf):
+    return _r(bm25.retrieve(*_index(spark, sf), _item_terms(spark, sf), 10), "score")
+
+
+def _vectors(spark, sf):
+    v = vectors.as_vectors(_t(spark, sf, "embeddings"))
+    return v, v.where("vec_id % 50 = 0")
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return _r(df.select("qid", "doc_id", "distance", "rank"), "distance")
+
+
+def exact_knn(spark, sf):
+    v, q = _vectors(spark, sf)
+    return _found(vectors.exact_knn(q, v, 100))
+
+
+def _ivf(spark, sf):
+    v, q = _vectors(spark, sf)
+    model = vectors.fixed_centroids(v)
+    assigned = vectors.assign(v, model)
+    return v, q, model, assigned, vectors.fixed_codebook(assigned)
+
+
+def ivf_assign(spark, sf):
+    _, _, _, assigned, _ = _ivf(spark, sf)
+    return assigned.select("vec_id", "cell")
+
+
+def ivf_train(spark, sf):
+    """Trained centroids: rows only, as k-means has no SQL."""
+    v, _ = _vectors(spark, sf)
+    model = vectors.train_centroids(v, 16)
+    return vectors.assign(v, model).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pq_encode(spark, sf):
+    _, _, _, assigned, book = _ivf(spark, sf)
+    return vectors.encode(assigned, book).select("vec_id", F.posexplode("codes").alias("sub", "code"))
+
+
+def ivf_pq_search(spark, sf):
+    _, q, model, assigned, book = _ivf(spark, sf)
+    return _found(vectors.ivf_pq(q, vectors.encode(assigned, book), model, book))
+
+
+def ivf_flat_search(spark, sf):
+    _, q, model, assigned, _ = _ivf(spark, sf)
+    return _found(vectors.ivf_flat(q, assigned, model))
+
+
+def ivf_sq8_search(spark, sf):
+    v, q, model, assigned, _ = _ivf(spark, sf)
+    return _found(vectors.ivf_sq8(q, assigned, model, vectors.sq8_ranges(v)))
+
+
+def _label_qrels(spark, sf):
+    """Judgments of every fiftieth vector: grade 1 + id % 3 for the same label, the query itself aside."""
+    e = _t(spark, sf, "embeddings").select("vec_id", "label")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
+    return q.join(e, "label").where("qid != vec_id").select("qid", F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 3 + 1).cast("int").alias("grade"))
+
+
+def nprobe_sweep(spark, sf):
+    _, q, model, assigned, book = _ivf(spark, sf)
+    return _r(vectors.nprobe_sweep(q, vectors.encode(assigned, book), model, book, _label_qrels(spark, sf), NPROBES), "recall")
+
+
+def _legs(spark, sf):
+    """BM25 and exact vector search of the same queries, top 100, the query's own document aside."""
+    index, lens, stats = _index(spark, sf)
+    own = _docs(spark, sf).join(_t(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    terms = bm25.query_terms(own, "doc_id", "text", 8)
+    lexical = bm25.top_k(bm25.score_batch(index, lens, stats, terms).where("qid != doc_id"), 100)
+    v, q = _vectors(spark, sf)
+    dense = vectors.exact_knn(q, v, 100, skip_self=True).drop("distance")
+    return fusion.legs(lexical, dense)
+
+
+def rrf_fuse(spark, sf):
+    return _r(fusion.rrf(_legs(spark, sf)), "score", places=9)
+
+
+def rrf_fuse_scored(spark, sf):
+    """Two scored lists, of which only the ranks count, cut to ten."""
+    return _r(fusion.rrf(_legs(spark, sf), top=10), "score", places=9)
+
+
+def minmax_normalise(spark, sf):
+    return _r(fusion.minmax(_legs(spark, sf)).drop("rank"), "score")
+
+
+def alpha_fuse(spark, sf):
+    return _r(fusion.alpha(fusion.minmax(_legs(spark, sf)), 0.4), "score")
+
+
+def alpha_sweep(spark, sf):
+    return _r(fusion.alpha_sweep(fusion.minmax(_legs(spark, sf)), _label_qrels(spark, sf), ALPHAS), "ndcg")
+
+
+def best_alpha(spark, sf):
+    return _r(fusion.best_alpha(fusion.alpha_sweep(fusion.minmax(_legs(spark, sf)), _label_qrels(spark, sf), ALPHAS)), "ndcg")
+
+
+def _acl(spark, sf):
+    return acl.generate(_docs(spark, sf))
+
+
+def acl_generate(spark, sf):
+    return _acl(spark, sf).select("doc_id", F.array_join("roles", ",").alias("roles"))
+
+
+def acl_can_access(spark, sf):
+    """Every role and one that is unknown; every third passage has no entry."""
+    pairs = _docs(spark, sf).select("doc_id", F.explode(F.array(*map(F.lit, [*ROLES, "guest"]))).alias("role"))
+    return acl.can_access(pairs, _acl(spark, sf).where("doc_id % 3 != 0"))
+
+
+def acl_accessible_set(spark, sf):
+    return acl.accessible(_acl(spark, sf), "analyst")
+
+
+def _bm25_run(spark, sf, k):
+    return bm25.retrieve(*_index(spark, sf), _item_terms(spark, sf), k)
+
+
+def acl_filter(spark, sf):
+    return _r(acl.filter_ranked(_bm25_run(spark, sf, 100), _acl(spark, sf), "sales", 10), "score")
+
+
+def _text_qrels(spark, sf):
+    """Judgments of the benchmark's items: grade 3 for documents that hold their first forty characters.
+
+    The items are few and each is held against every text once; Spark broadcasts them if they are small.
+    """
+    items = _t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 40).alias("part"))
+    return _docs(spark, sf).join(items, F.contains("text", "part")).select("qid", "doc_id", F.lit(3).alias("grade"))
+
+
+def acl_recall_drop(spark, sf):
+    return acl.recall_drop(_bm25_run(spark, sf, 20), _acl(spark, sf), _text_qrels(spark, sf), ROLES, 10)
+
+
+def _dense_run(spark, sf):
+    v, q = _vectors(spark, sf)
+    return vectors.exact_knn(q, v, 100, skip_self=True)
+
+
+def dcg(spark, sf):
+    return _r(metrics.dcg(_dense_run(spark, sf), _label_qrels(spark, sf)), "dcg")
+
+
+def idcg(spark, sf):
+    return _r(metrics.idcg(_label_qrels(spark, sf)), "idcg")
+
+
+def single_query_ndcg(spark, sf):
+    return _r(metrics.ndcg_by_query(_dense_run(spark, sf), _label_qrels(spark, sf)), "ndcg")
+
+
+def ndcg_at_k(spark, sf):
+    return _r(metrics.mean(metrics.ndcg_by_query(_dense_run(spark, sf), _label_qrels(spark, sf)), "ndcg", "ndcg"), "ndcg")
+
+
+def mrr_at_k(spark, sf):
+    return _r(metrics.mean(metrics.mrr_by_query(_bm25_run(spark, sf, 10), _text_qrels(spark, sf)), "rr", "mrr"), "mrr")
+
+
+def recall_at_k(spark, sf):
+    return _r(metrics.mean(metrics.recall_by_query(_dense_run(spark, sf), _label_qrels(spark, sf)), "recall", "recall"), "recall")
+
+
+def per_query_metrics(spark, sf):
+    return _r(metrics.per_query(_bm25_run(spark, sf, 100), _text_qrels(spark, sf)), "ndcg", "recall")
+
+
+def bootstrap_ci(spark, sf):
+    return _r(metrics.bootstrap(metrics.ndcg_by_query(_dense_run(spark, sf), _label_qrels(spark, sf)), "ndcg"), "low", "high")
+
+
+def dataset_stats(spark, sf):
+    return _r(metrics.dataset_stats(_label_qrels(spark, sf)), "mean_judgments")
+
+
+def latency_stats(spark, sf):
+    return _r(metrics.latency(_t(spark, sf, "events"), "event_type", "value"), "mean", "p50", "p95", "p99")
+
+
+def median_latency(spark, sf):
+    return _r(metrics.median(_t(spark, sf, "events"), "event_type", "value"), "median")
+
+
+def ablation_gates(spark, sf):
+    """Mean nDCG at 10 of each leg and their fusion, and whether the fusion is better than the vectors alone."""
+    legs, q = _legs(spark, sf), _label_qrels(spark, sf)
+    runs = legs.select(F.when(F.col("leg") == 0, "bm25").otherwise("dense").alias("system"), "qid", "doc_id", "rank").unionByName(fusion.rrf(legs).select(F.lit("rrf").alias("system"), "qid", "doc_id", "rank"))
+    means = metrics.ndcg_by_query(runs, q, 10, ["system"]).groupBy("system").agg(F.avg("ndcg").alias("ndcg"))
+    wide = means.agg(*(F.round(F.max(F.when(F.col("system") == s, F.col("ndcg"))), 6).alias(s) for s in ("bm25", "dense", "rrf")))
+    return wide.withColumn("rrf_beats_dense", F.col("rrf") > F.col("dense"))
+
+
+def export_corpus(spark, sf):
+    """The corpus as passages with text identifiers: what the JSON lines hold."""
+    return _docs(spark, sf).select(F.col("doc_id").cast("string").alias("pid"), "text")
+
+
+def limited_scan(spark, sf):
+    return _docs(spark, sf).select("doc_id", "text").orderBy("doc_id").limit(100)
+
+
+def passage_lookup(spark, sf):
+    """Texts by chunk id; what is missing is left out."""
+    chunks = chunking.chunk_passages(_docs(spark, sf)).select("chunk_id", "passage_id", "text")
+    wanted = _t(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit("_0")).alias("chunk_id"))
+    return chunks.join(wanted, "chunk_id")
+
+
+def build_passage_store(spark, sf):
+    """Chunks written twice under one key: the last of two versions stays."""
+    from passagix.sources.store import keep_last
+
+    chunks = chunking.chunk_passages(_docs(spark, sf)).select("chunk_id", "passage_id", "text")
+    again = chunks.where("passage_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" (2)")))
+    both = chunks.withColumn("version", F.lit(0)).unionByName(again.withColumn("version", F.lit(1)))
+    return keep_last(both, ["chunk_id"], "version").select("chunk_id", "passage_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        tokenize, chunk_tokenize, chunk_passage, chunk_corpus, build_postings, posting_list, vocab, corpus_stats, doc_freq_idf, merge_index, vbyte_posting_size,
+        bm25_score, bm25_score_batch, bm25_topk, exact_knn, ivf_assign, ivf_train, pq_encode, ivf_pq_search, ivf_flat_search, ivf_sq8_search, nprobe_sweep,
+        rrf_fuse, rrf_fuse_scored, minmax_normalise, alpha_fuse, alpha_sweep, best_alpha, acl_generate, acl_can_access, acl_accessible_set, acl_filter, acl_recall_drop,
+        dcg, idcg, single_query_ndcg, ndcg_at_k, mrr_at_k, recall_at_k, per_query_metrics, bootstrap_ci, dataset_stats, latency_stats, median_latency, ablation_gates,
+        export_corpus, limited_scan, passage_lookup, build_passage_store,
+    )
+}
+
+# The SQL, put together from common table expressions.
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+
+
+def _words(column: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({column}, '')), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def _tokens(column: str) -> str:
+    return f"list_filter({_words(column)}, lambda x: NOT list_contains({_STOP}, x))"
+
+
+_TOK = f"tok AS (SELECT doc_id, {_tokens('text')} AS t FROM documents)"
+_POST = f"{_TOK}, occ AS (SELECT doc_id, unnest(t) AS term FROM tok), post AS (SELECT term, doc_id, count(*)::int AS tf FROM occ GROUP BY term, doc_id)"
+_STATS = "st AS (SELECT count(*) AS n_docs, coalesce(sum(len(t)), 0)::bigint AS total_tokens, coalesce(avg(len(t)), 0) AS avgdl FROM tok)"
+_DF = "df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"
+_W = f"{_POST}, {_STATS}, {_DF}, w AS (SELECT p.term, p.doc_id, ln((n_docs - df + 0.5::double) / (df + 0.5::double) + 1) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len(t) / avgdl)) AS w FROM post p JOIN df USING (term) JOIN tok USING (doc_id), st)"
+_QT = f"qt AS (SELECT item_id AS qid, unnest({_tokens('text')}[1:8]) AS term FROM benchmark)"
+_SC = f"{_W}, {_QT}, sc AS (SELECT qid, doc_id, sum(w) AS score FROM qt JOIN w USING (term) GROUP BY qid, doc_id)"
+_RUN = f"{_SC}, run AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc)"
+_TQ = "qrels AS (SELECT item_id AS qid, doc_id, 3 AS grade FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 40)))"
+_LQ = "qrels AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, (e.vec_id % 3 + 1)::int AS grade FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id % 50 = 0 AND q.vec_id != e.vec_id)"
+_COMP = "comp AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::double AS x FROM embeddings)"
+_L2 = f"{_COMP}, l2 AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, sum((q.x - v.x) * (q.x - v.x)) AS d FROM comp q JOIN comp v USING (i) WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, v.vec_id)"
+_DENSE = f"{_L2}, dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), doc_id) AS rank FROM l2 WHERE qid != doc_id)"
+_CELL = f"{_COMP}, cd AS (SELECT a.vec_id, c.vec_id AS cell, sum((a.x - c.x) * (a.x - c.x)) AS d FROM comp a JOIN comp c ON a.i = c.i AND c.vec_id < 16 GROUP BY a.vec_id, c.vec_id), near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), cell) AS turn FROM cd), asg AS (SELECT vec_id, cell FROM near WHERE turn = 1)"
+_PQ = f"""{_CELL},
+res AS (SELECT a.vec_id, a.cell, c.i, v.x - c.x AS r FROM asg a JOIN comp v ON v.vec_id = a.vec_id JOIN comp c ON c.vec_id = a.cell AND c.i = v.i),
+book AS (SELECT vec_id - 16 AS code, i, r FROM res WHERE vec_id BETWEEN 16 AND 31),
+cdist AS (SELECT s.vec_id, s.cell, s.i // 8 AS sub, b.code, sum((s.r - b.r) * (s.r - b.r)) AS d FROM res s JOIN book b USING (i) GROUP BY s.vec_id, s.cell, s.i // 8, b.code),
+codes AS (SELECT vec_id, cell, sub, code FROM cdist QUALIFY row_number() OVER (PARTITION BY vec_id, sub ORDER BY round(d, 9), code) = 1)"""
+
+
+def _adc(nprobe: int) -> str:
+    return f"""{_PQ},
+pr AS (SELECT vec_id AS qid, cell, turn FROM near WHERE vec_id % 50 = 0 AND turn <= {nprobe}),
+tab AS (SELECT p.qid, p.cell, p.turn, c.i // 8 AS sub, b.code, sum((q.x - c.x - b.r) * (q.x - c.x - b.r)) AS d FROM pr p JOIN comp q ON q.vec_id = p.qid JOIN comp c ON c.vec_id = p.cell AND c.i = q.i JOIN book b ON b.i = q.i GROUP BY p.qid, p.cell, p.turn, c.i // 8, b.code),
+adc AS (SELECT t.qid, k.vec_id AS doc_id, t.turn, sum(t.d) AS d FROM tab t JOIN codes k ON k.cell = t.cell AND k.sub = t.sub AND k.code = t.code GROUP BY t.qid, k.vec_id, t.turn)"""
+
+
+_KNN_OUT = "SELECT qid, doc_id, round(d, 6) AS distance, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), doc_id) AS rank FROM {0}) WHERE rank <= {1}"
+_LEGS = f"""{_W},
+own AS (SELECT t.doc_id AS qid, unnest(t.t[1:8]) AS term FROM tok t JOIN embeddings e ON e.vec_id = t.doc_id AND e.vec_id % 50 = 0),
+lex AS (SELECT qid, doc_id, sum(w) AS score FROM own JOIN w USING (term) WHERE qid != doc_id GROUP BY qid, doc_id),
+{_DENSE},
+legs AS (SELECT * FROM (SELECT qid, 0 AS leg, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex) WHERE rank <= 100
+  UNION ALL SELECT qid, 1, doc_id, -d, rank FROM dense WHERE rank <= 100)"""
+_RRF = f"{_LEGS}, fused AS (SELECT qid, doc_id, sum(1.0::double / (60 + rank)) AS score, min(leg * 100000 + rank) AS seen FROM legs GROUP BY qid, doc_id), rrf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seen, doc_id) AS rank FROM fused)"
+_MM = f"{_LEGS}, mm AS (SELECT qid, leg, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::double ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS score FROM legs WINDOW w AS (PARTITION BY qid, leg))"
+_SWEEP = f"""{_MM}, {_LQ},
+al AS (SELECT unnest(range(11)) / 10.0::double AS alpha),
+af AS (SELECT alpha, qid, doc_id, alpha * sum(CASE WHEN leg = 0 THEN score ELSE 0 END) + (1 - alpha) * sum(CASE WHEN leg = 1 THEN score ELSE 0 END) AS score FROM mm, al GROUP BY alpha, qid, doc_id),
+ar AS (SELECT *, row_number() OVER (PARTITION BY alpha, qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM af),
+ideal AS (SELECT qid, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS r FROM qrels) WHERE r <= 10 GROUP BY qid),
+got AS (SELECT alpha, ar.qid, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg FROM ar LEFT JOIN qrels USING (qid, doc_id) WHERE rank <= 10 GROUP BY alpha, ar.qid),
+sweep AS (SELECT alpha, avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END) AS ndcg FROM got JOIN ideal USING (qid) GROUP BY alpha)"""
+_ROLE = "(VALUES ('admin', 1.0::double), ('engineer', 0.80), ('analyst', 0.65), ('sales', 0.50), ('viewer', 0.35)) r(role, share)"
+_ACL = f"acl AS (SELECT doc_id, list_sort(list(role)) AS roles FROM documents, {_ROLE} WHERE share >= 1 OR ('0x' || substr(md5(concat_ws('|', doc_id, role, '42')), 1, 8))::bigint / 4294967296.0::double < share GROUP BY doc_id)"
+
+
+def _ndcg(run: str) -> str:
+    return f"""ideal AS (SELECT qid, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS r FROM qrels) WHERE r <= 10 GROUP BY qid),
+got AS (SELECT r.qid, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg FROM {run} r LEFT JOIN qrels q ON q.qid = r.qid AND q.doc_id = r.doc_id WHERE rank <= 10 GROUP BY r.qid),
+ndcg AS (SELECT qid, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg FROM got JOIN ideal USING (qid))"""
+
+
+_CHUNKS = f"""toks AS (SELECT doc_id, coalesce(text, '') AS text, {_words('text')} AS t FROM documents),
+starts AS (SELECT *, unnest(range(CASE WHEN len(t) <= 256 THEN 1 ELSE ceil((len(t) - 256) / 32.0)::bigint + 1 END)) AS k FROM toks),
+chunks AS (SELECT doc_id || '_' || k AS chunk_id, doc_id AS passage_id, CASE WHEN len(t) <= 256 THEN text ELSE array_to_string(t[k * 32 + 1 : k * 32 + 256], ' ') END AS text, (k * 32)::int AS token_start, least(k * 32 + 256, len(t))::int AS token_end FROM starts)"""
+_RECALL = """rel AS (SELECT DISTINCT qid, doc_id FROM qrels WHERE grade >= 1), wanted AS (SELECT qid, count(*) AS wanted FROM rel GROUP BY qid)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "tokenize": f"SELECT doc_id, len(t)::int AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
+    "chunk_tokenize": f"SELECT doc_id, len(t)::int AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {_words('text')} AS t FROM documents)",
+    "chunk_passage": f"WITH {_CHUNKS} SELECT * FROM chunks",
+    "chunk_corpus": f"WITH {_CHUNKS} SELECT chunk_id, passage_id FROM chunks",
+    "build_postings": f"WITH {_POST} SELECT * FROM post",
+    "posting_list": f"WITH {_POST} SELECT doc_id, tf FROM post WHERE term = '{TERM}'",
+    "vocab": f"WITH {_POST} SELECT DISTINCT term FROM post",
+    "corpus_stats": f"WITH {_TOK}, {_STATS} SELECT n_docs, total_tokens, round(avgdl, 6) AS avgdl FROM st",
+    "doc_freq_idf": f"WITH {_POST}, {_STATS}, {_DF} SELECT term, df, round(ln((n_docs - df + 0.5::double) / (df + 0.5::double) + 1), 6) AS idf FROM df, st",
+    "merge_index": f"WITH {_POST} SELECT * FROM post",
+    "vbyte_posting_size": f"WITH {_POST}, gap AS (SELECT term, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS g FROM post) SELECT term, count(*) AS n_postings, sum(1 + (g >= 128)::int + (g >= 16384)::int + (g >= 2097152)::int + (g >= 268435456)::int)::bigint AS n_bytes FROM gap GROUP BY term",
+    "bm25_score": f"WITH {_SC} SELECT qid, doc_id, round(score, 6) AS score FROM sc WHERE doc_id = 1",
+    "bm25_score_batch": f"WITH {_SC} SELECT qid, doc_id, round(score, 6) AS score FROM sc WHERE doc_id % 3 = 0",
+    "bm25_topk": f"WITH {_RUN} SELECT qid, doc_id, round(score, 6) AS score, rank::int AS rank FROM run WHERE rank <= 10",
+    "exact_knn": f"WITH {_L2} {_KNN_OUT.format('l2', 100)}",
+    "ivf_assign": f"WITH {_CELL} SELECT vec_id, cell::int AS cell FROM asg",
+    "pq_encode": f"WITH {_PQ} SELECT vec_id, sub::int AS sub, code::int AS code FROM codes",
+    "ivf_pq_search": f"WITH {_adc(4)} {_KNN_OUT.format('adc', 10)}",
+    "ivf_flat_search": f"WITH {_CELL}, l2 AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, sum((q.x - v.x) * (q.x - v.x)) AS d FROM comp q JOIN comp v USING (i) WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, v.vec_id), f AS (SELECT l2.* FROM l2 JOIN asg ON asg.vec_id = doc_id JOIN near n ON n.vec_id = qid AND n.cell = asg.cell AND n.turn <= 4) {_KNN_OUT.format('f', 10)}",
+    "ivf_sq8_search": f"WITH {_CELL}, rg AS (SELECT i, min(x) AS lo, max(x) AS hi FROM comp GROUP BY i), dec AS (SELECT vec_id, i, lo + coalesce(floor((x - lo) * 255 / nullif(hi - lo, 0) + 0.5::double), 0) * (hi - lo) / 255 AS y FROM comp JOIN rg USING (i)), l2 AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, sum((q.x - v.y) * (q.x - v.y)) AS d FROM comp q JOIN dec v USING (i) WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, v.vec_id), f AS (SELECT l2.* FROM l2 JOIN asg ON asg.vec_id = doc_id JOIN near n ON n.vec_id = qid AND n.cell = asg.cell AND n.turn <= 4) {_KNN_OUT.format('f', 10)}",
+    "nprobe_sweep": f"WITH {_adc(16)}, {_LQ}, {_RECALL}, np AS (SELECT unnest([1, 4, 8, 16]) AS nprobe), swept AS (SELECT nprobe, qid, doc_id, row_number() OVER (PARTITION BY nprobe, qid ORDER BY round(d, 9), doc_id) AS rank FROM adc JOIN np ON turn <= nprobe), hit AS (SELECT nprobe, s.qid, count(*) AS hits FROM swept s JOIN rel USING (qid, doc_id) WHERE rank <= 100 GROUP BY nprobe, s.qid) SELECT nprobe::int AS nprobe, round(avg(coalesce(hits, 0) / wanted), 6) AS recall FROM (SELECT * FROM wanted, np) e LEFT JOIN hit USING (qid, nprobe) GROUP BY nprobe",
+    "rrf_fuse": f"WITH {_RRF} SELECT qid, doc_id, round(score, 9) AS score, rank::int AS rank FROM rrf",
+    "rrf_fuse_scored": f"WITH {_RRF} SELECT qid, doc_id, round(score, 9) AS score, rank::int AS rank FROM rrf WHERE rank <= 10",
+    "minmax_normalise": f"WITH {_MM} SELECT qid, leg, doc_id, round(score, 6) AS score FROM mm",
+    "alpha_fuse": f"WITH {_MM}, f AS (SELECT qid, doc_id, 0.4::double * sum(CASE WHEN leg = 0 THEN score ELSE 0 END) + (1 - 0.4::double) * sum(CASE WHEN leg = 1 THEN score ELSE 0 END) AS score FROM mm GROUP BY qid, doc_id) SELECT qid, doc_id, round(score, 6) AS score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 100",
+    "alpha_sweep": f"WITH {_SWEEP} SELECT alpha, round(ndcg, 6) AS ndcg FROM sweep",
+    "best_alpha": f"WITH {_SWEEP} SELECT alpha, round(ndcg, 6) AS ndcg FROM sweep ORDER BY round(sweep.ndcg, 9) DESC, alpha LIMIT 1",
+    "acl_generate": f"WITH {_ACL} SELECT doc_id, array_to_string(roles, ',') AS roles FROM acl",
+    "acl_can_access": f"WITH {_ACL} SELECT d.doc_id, role, list_contains(coalesce(roles, ['admin']), role) AS allowed FROM (SELECT doc_id, unnest(['admin', 'engineer', 'analyst', 'sales', 'viewer', 'guest']) AS role FROM documents) d LEFT JOIN (SELECT * FROM acl WHERE doc_id % 3 != 0) a ON a.doc_id = d.doc_id",
+    "acl_accessible_set": f"WITH {_ACL} SELECT doc_id FROM acl WHERE list_contains(roles, 'analyst')",
+    "acl_filter": f"WITH {_RUN}, {_ACL} SELECT qid, doc_id, score, rank::int AS rank FROM (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM run JOIN acl USING (doc_id) WHERE rank <= 100 AND list_contains(roles, 'sales')) WHERE rank <= 10",
+    "acl_recall_drop": f"""WITH {_RUN}, {_ACL}, {_TQ}, {_RECALL}, r20 AS (SELECT qid, doc_id, rank FROM run WHERE rank <= 20),
+seen AS (SELECT role, qid, doc_id, row_number() OVER (PARTITION BY role, qid ORDER BY rank) AS rank FROM r20 JOIN acl USING (doc_id), (SELECT unnest(['admin', 'engineer', 'analyst', 'sales', 'viewer']) AS role) x WHERE list_contains(roles, role) UNION ALL SELECT 'unrestricted', qid, doc_id, rank FROM r20),
+hit AS (SELECT role, s.qid, count(*) AS hits FROM seen s JOIN rel USING (qid, doc_id) WHERE rank <= 10 GROUP BY role, s.qid),
+base AS (SELECT role, qid, wanted FROM wanted, (SELECT unnest(['admin', 'engineer', 'analyst', 'sales', 'viewer', 'unrestricted']) AS role) x WHERE qid IN (SELECT qid FROM r20)),
+m AS (SELECT role, avg(coalesce(hits, 0) / wanted) AS recall FROM base LEFT JOIN hit USING (role, qid) GROUP BY role)
+SELECT role, round_even(recall, 4) AS recall, round_even((SELECT recall FROM m WHERE role = 'unrestricted') - recall, 4) AS drop FROM m""",
+    "dcg": f"WITH {_DENSE}, {_LQ}, {_ndcg('dense')} SELECT qid, round(dcg, 6) AS dcg FROM got",
+    "idcg": f"WITH {_DENSE}, {_LQ}, {_ndcg('dense')} SELECT qid, round(idcg, 6) AS idcg FROM ideal",
+    "single_query_ndcg": f"WITH {_DENSE}, {_LQ}, {_ndcg('dense')} SELECT qid, round(ndcg, 6) AS ndcg FROM ndcg",
+    "ndcg_at_k": f"WITH {_DENSE}, {_LQ}, {_ndcg('dense')} SELECT round(coalesce(avg(ndcg), 0), 6) AS ndcg FROM ndcg",
+    "mrr_at_k": f"WITH {_RUN}, {_TQ}, first AS (SELECT r.qid, min(rank) AS rank FROM run r JOIN qrels q ON q.qid = r.qid AND q.doc_id = r.doc_id AND grade >= 1 WHERE rank <= 10 GROUP BY r.qid) SELECT round(coalesce(avg(coalesce(1.0::double / rank, 0)), 0), 6) AS mrr FROM (SELECT DISTINCT qid FROM run WHERE qid IN (SELECT qid FROM qrels)) j LEFT JOIN first USING (qid)",
+    "recall_at_k": f"WITH {_DENSE}, {_LQ}, {_RECALL}, hit AS (SELECT d.qid, count(*) AS hits FROM dense d JOIN rel USING (qid, doc_id) WHERE rank <= 100 GROUP BY d.qid) SELECT round(coalesce(avg(coalesce(hits, 0) / wanted), 0), 6) AS recall FROM wanted LEFT JOIN hit USING (qid) WHERE qid IN (SELECT qid FROM dense)",
+    "per_query_metrics": f"WITH {_RUN}, {_TQ}, {_ndcg('run')}, {_RECALL}, hit AS (SELECT r.qid, count(*) AS hits FROM run r JOIN rel USING (qid, doc_id) WHERE rank <= 100 GROUP BY r.qid) SELECT qid, round(ndcg, 6) AS ndcg, round(coalesce(hits, 0) / wanted, 6) AS recall FROM ndcg JOIN wanted USING (qid) LEFT JOIN hit USING (qid)",
+    "bootstrap_ci": f"""WITH {_DENSE}, {_LQ}, {_ndcg('dense')}, num AS (SELECT ndcg, row_number() OVER (ORDER BY qid) - 1 AS i FROM ndcg),
+dr AS (SELECT r.range AS round, d.range AS draw, ('0x' || substr(md5(concat_ws('|', r.range, d.range, '42')), 1, 8))::bigint % (SELECT count(*) FROM num) AS i FROM range(1000) r, (SELECT unnest(range((SELECT count(*) FROM num))) AS range) d),
+ms AS (SELECT list_sort(list(m)) AS m FROM (SELECT avg(ndcg) AS m FROM dr JOIN num USING (i) GROUP BY round))
+SELECT round(coalesce(m[26], 0), 6) AS low, round(coalesce(m[976], 0), 6) AS high FROM ms""",
+    "dataset_stats": f"WITH {_LQ} SELECT count(DISTINCT qid) AS n_queries, count(*) AS n_judgments, round(count(*) / greatest(count(DISTINCT qid), 1), 6) AS mean_judgments FROM qrels",
+    "latency_stats": "SELECT event_type, n, round(mean, 6) AS mean, round(v[floor(n * 0.5::double)::int + 1], 6) AS p50, round(v[least(floor(n * 0.95::double)::int, n - 1) + 1], 6) AS p95, round(v[least(floor(n * 0.99::double)::int, n - 1) + 1], 6) AS p99 FROM (SELECT event_type, count(*) AS n, avg(value) AS mean, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)",
+    "median_latency": "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type",
+    "ablation_gates": f"""WITH {_RRF}, {_LQ}, sys AS (SELECT CASE WHEN leg = 0 THEN 'bm25' ELSE 'dense' END AS system, qid, doc_id, rank FROM legs UNION ALL SELECT 'rrf', qid, doc_id, rank FROM rrf),
+ideal AS (SELECT qid, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS r FROM qrels) WHERE r <= 10 GROUP BY qid),
+got AS (SELECT system, s.qid, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg FROM sys s LEFT JOIN qrels q ON q.qid = s.qid AND q.doc_id = s.doc_id WHERE rank <= 10 GROUP BY system, s.qid),
+m AS (SELECT system, avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END) AS ndcg FROM got JOIN ideal USING (qid) GROUP BY system),
+x AS (SELECT round(max(ndcg) FILTER (system = 'bm25'), 6) AS bm25, round(max(ndcg) FILTER (system = 'dense'), 6) AS dense, round(max(ndcg) FILTER (system = 'rrf'), 6) AS rrf FROM m)
+SELECT *, rrf > dense AS rrf_beats_dense FROM x""",
+    "export_corpus": "SELECT doc_id::varchar AS pid, text FROM documents",
+    "limited_scan": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100",
+    "passage_lookup": f"WITH {_CHUNKS} SELECT chunk_id, passage_id, text FROM chunks JOIN (SELECT vec_id || '_0' AS chunk_id FROM embeddings) USING (chunk_id)",
+    "build_passage_store": f"WITH {_CHUNKS} SELECT chunk_id, passage_id, length(x) AS n_chars, md5(x) AS text_md5 FROM (SELECT chunk_id, passage_id, CASE WHEN passage_id % 2 = 0 THEN text || ' (2)' ELSE text END AS x FROM chunks)",
+}
