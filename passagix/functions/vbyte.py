@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def encode(n: int) -> bytes:
@@ -55,12 +56,12 @@ def size(n: str | Column) -> Column:
     return F.lit(1) + sum((c >= 1 << k).cast("int") for k in (7, 14, 21, 28))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_column(lists: pd.Series) -> pd.Series:
     """encode_sorted of an array column, by Arrow batches."""
     return lists.map(lambda x: None if x is None else encode_sorted(x))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def decode_column(codes: pd.Series) -> pd.Series:
     return codes.map(lambda x: None if x is None else decode_sorted(x))
