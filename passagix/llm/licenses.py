@@ -133,3 +133,34 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _values() -> str:
+    rows = [(label, True, phrase) for phrase, label in PHRASES] + [(label, False, notice) for label, notice in NOTICES]
+    return ", ".join("({}, '{}', {}, '{}')".format(i, label, str(base).lower(), text.replace("'", "''")) for i, (label, base, text) in enumerate(rows))
+
+
+_SPLIT = "regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: DuckDB SQL for op1_license_scan: k-grams are joined by their words.
+OP1_SQL = f"""
+WITH t AS (SELECT template, label, base, {_SPLIT} AS w FROM (VALUES {_values()}) v(template, label, base, text)),
+tk AS (SELECT *, CASE WHEN base OR len(w) < {K_NOTICE} THEN {K_PHRASE} ELSE {K_NOTICE} END AS k FROM t),
+g AS (SELECT template, label, base, k, len(w) - k + 1 AS n_grams, i AS pl, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c, w[i + 4] AS d FROM (SELECT *, unnest(range(len(w))) AS i FROM tk) WHERE i < len(w) - k + 1),
+doc AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+p AS (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c, w[i + 4] AS d FROM (SELECT *, unnest(range(len(w))) AS i FROM doc)),
+hit AS (
+  SELECT doc_id, template, label, base, k, n_grams, pl, i FROM p JOIN g ON g.k = 2 AND p.a = g.a AND p.b = g.b
+  UNION ALL SELECT doc_id, template, label, base, k, n_grams, pl, i FROM p JOIN g ON g.k = 4 AND p.a = g.a AND p.b = g.b AND p.c = g.c AND p.d = g.d),
+diag AS (SELECT doc_id, template, label, base, n_grams, i - pl AS diagonal, count(*) AS votes, min(i) AS start, max(i) + max(k) AS stop FROM hit GROUP BY doc_id, template, label, base, n_grams, i - pl),
+cut AS (SELECT *, CASE WHEN base THEN 1 ELSE coalesce((abs(diagonal - lag(diagonal) OVER o) > {SLACK} OR start - max(stop) OVER (PARTITION BY doc_id, template ORDER BY start, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {SLACK + K_NOTICE})::int, 1) END AS apart
+  FROM diag WINDOW o AS (PARTITION BY doc_id, template ORDER BY start, diagonal)),
+span AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY start, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM cut),
+found AS (SELECT doc_id, label, base, n_grams, sum(votes) AS votes, min(start) AS start, least(1.0::double, sum(votes) / n_grams::double) AS share FROM span GROUP BY doc_id, template, label, base, n_grams, span),
+marked AS (SELECT *, base AND votes = n_grams AS whole, (base AND votes = n_grams) OR (NOT base AND share >= {COVERAGE}) AS kept FROM found),
+r AS (SELECT doc_id, count(*) FILTER (whole) AS n_base, min(start) FILTER (whole) AS first_word, max(start) FILTER (whole) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kept) AS labels, max(share) AS score, count(*) FILTER (kept) AS n_spans
+  FROM marked GROUP BY doc_id)
+SELECT doc.doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::double) AS score, coalesce(n_spans, 0)::bigint AS n_spans
+FROM doc LEFT JOIN r USING (doc_id)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from passagix.llm.ann import op2_nearest_neighbours
 from passagix.llm.fingerprints import op9_document_fingerprints
 from passagix.llm.langid import op4_language_id
-from passagix.llm.licenses import op1_license_scan
+from passagix.llm.licenses import OP1_SQL, op1_license_scan
 from passagix.llm.lines import OP10_SQL, op10_line_dedup
 from passagix.llm.mixing import OP3_SQL, op3_source_mixing
 from passagix.llm.packing import op8_best_fit_packing
@@ -32,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_line_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": OP1_SQL, "op3_source_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL}
