@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from passagix.llm import lines, mixing, packing, simhash, toxicity
-from passagix.llm.common import settled, table
+from passagix.llm.common import discarded, settled, table
 from passagix.llm.tokens import public
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold; the model learns from the labelled documents among them."""
-    model = toxicity.fit(toxicity.labelled_documents(docs, table(spark, sf_dir, "labels")))
+    labelled = toxicity.labelled_documents(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit(labelled)
+    discarded(labelled)
     return toxicity.reject_toxic(docs, model)
 
 
@@ -50,6 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        after = settled(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            discarded(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

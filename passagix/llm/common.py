@@ -28,12 +28,34 @@ def shared_dir(spark: SparkSession) -> str:
     return said.rstrip("/")
 
 
+#: With this set, a query's shuffle files go when it has ended, rather than when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df as written to a new table in the shared folder and read again: it cuts the lineage, and lost executors don't lose it."""
+    """df as written to a new table in the shared folder and read again: it cuts the lineage, and lost executors don't lose it.
+
+    The shuffle files of the write go as soon as it has ended, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more: what came of them must be settled itself, or be at the driver."""
+    for t in tables:
+        spark, path = t.sparkSession, t._settled_at
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

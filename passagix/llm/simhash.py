@@ -15,11 +15,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagix.llm.common import own_name, settled, ship, table
+from passagix.llm.common import discarded, own_name, settled, ship, table
 
 BITS = 64
 #: Widths of the blocks, lowest bits first.
@@ -162,8 +162,10 @@ def components(edges: DataFrame) -> DataFrame:
         far = settled(hop.join(hop.select(F.col("v").alias("to"), F.col("to").alias("to2")), "to", "left").select("v", F.coalesce("to2", "to").alias("to")), "far")
         hops.append(far)
         left, right = far.select(F.col("v").alias("a"), F.col("to").alias("a2")), far.select(F.col("v").alias("b"), F.col("to").alias("b2"))
-        edges = edges.join(left, "a").join(right, "b").where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
-        edges = settled(edges, "edges")
+        fewer = edges.join(left, "a").join(right, "b").where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
+        fewer = settled(fewer, "edges")
+        discarded(edges, hop)
+        edges = fewer
     if not hops:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     # A vertex that ends as a root of one round may point on in a later one.
@@ -191,15 +193,25 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: the one of the smallest id (rows that share that id: the one of the smallest hash of the text). Columns stay."""
-    key, group = own_name(docs, "__bits"), own_name(docs, "__group")
-    with_bits = settled(fingerprints(docs, text, to=key), "with_bits")
-    classes = settled(with_bits.groupBy(F.col(key).alias("fingerprint_bits")).agg(F.min(F.struct(F.col(doc_id).isNull().alias("null_id"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))).alias("first")), "classes")
+    """docs with one row of each component: the one of the smallest id (rows that share that id: the one of the smallest hash of the text). Columns stay.
+
+    Fingerprints travel with ids and text hashes; the texts move once, to meet those that are kept.
+    """
+    base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    bits = settled(fingerprints(base, "text", keep=["id", "h"]), "bits")
+    classes = settled(bits.groupBy("fingerprint_bits").agg(F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "h")).alias("first")), "classes")
+    discarded(bits)
     roots = settled(components(links(classes.select("fingerprint_bits"))), "roots")
     grouped = classes.join(roots.withColumnRenamed("v", "fingerprint_bits"), "fingerprint_bits", "left").withColumn("root", F.coalesce("root", "fingerprint_bits"))
-    kept = grouped.groupBy("root").agg(F.min(F.struct("first", "fingerprint_bits")).alias("k")).select(F.col("k.fingerprint_bits").alias(key), F.col("k.first").alias(group))
-    chosen = with_bits.join(kept, key).where(F.col(doc_id).eqNullSafe(F.col(f"{group}.id")) & (F.xxhash64(text) == F.col(f"{group}.h")))
-    return chosen.dropDuplicates([key]).select(*docs.columns)
+    zero = F.lit(0).cast(docs.schema[doc_id].dataType)
+    kept = settled(grouped.groupBy("root").agg(F.min("first").alias("k")).select(F.coalesce("k.id", zero).alias("k1"), F.col("k.null_id").alias("k2"), F.col("k.h").alias("k3")), "kept")
+    discarded(classes, roots)
+    a, b, c, turn = (own_name(docs, x) for x in ("__k1", "__k2", "__k3", "__turn"))
+    keyed = docs.withColumn(a, F.coalesce(doc_id, zero)).withColumn(b, F.col(doc_id).isNull()).withColumn(c, F.xxhash64(text))
+    chosen = keyed.join(kept, (F.col(a) == F.col("k1")) & (F.col(b) == F.col("k2")) & (F.col(c) == F.col("k3")), "left_semi")
+    # Of rows that repeat as a whole one stays.
+    chosen = chosen.withColumn(turn, F.row_number().over(Window.partitionBy(a, b, c).orderBy(c)))
+    return chosen.where(F.col(turn) == 1).select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
