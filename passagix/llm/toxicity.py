@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagix.llm.common import ship, table, train_part
+from passagix.llm.common import discarded, settled, ship, table, train_part
 
 WORD = re.compile(r"\w+")
 #: A word of the lexicon is in so many toxic documents at least, and in such a share of them, and its odds there are so many times those elsewhere.
@@ -328,10 +328,14 @@ def reject_toxic(docs: DataFrame, model: ToxicModel, text: str = "text") -> Data
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of the documents that have labels and may be learned from; of several labels of one id the largest counts."""
     known = labels.where(train_part() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(train_part()).join(known, "doc_id")
+    # Labels grow with the documents, so they are not broadcast at any size; each text moves once, and what trains reads the table.
+    joined = docs.select("doc_id", "text").where(train_part() & F.col("text").isNotNull()).join(known.hint("merge"), "doc_id")
+    return settled(joined, "labelled")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(labelled_documents(docs, table(spark, sf_dir, "labels")))
+    labelled = labelled_documents(docs, table(spark, sf_dir, "labels"))
+    model = fit(labelled)
+    discarded(labelled)
     return score_toxicity(docs, model).withColumn("n_spans", F.size("spans")).select("doc_id", "held_out", "score", "predicted", "n_spans")
