@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from passagix.llm import lines, mixing, packing, simhash, toxicity
-from passagix.llm.common import discarded, settled, table
+from passagix.llm.common import discarded, own_name, settled, table
 from passagix.llm.tokens import public
 
 
@@ -29,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Each document as often as the mix takes it, shard after shard, and each shard in the order of its shuffle."""
+    return mixing.mix(docs).orderBy(own_name(docs, "shard"), own_name(docs, "place")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

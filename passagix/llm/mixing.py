@@ -142,7 +142,31 @@ def _plan(docs: DataFrame, doc_id: str, text: str, source: str, seed: int, depth
     joined = joined.withColumn("__offset", F.col("__skip") + F.coalesce(F.sum("__size").over(inner), zero))
     joined = joined.withColumn("__passes", F.when(F.col("__source_size") > 0, F.floor(F.col("__whole") / F.col("__source_size"))).otherwise(0).cast("long"))
     over = F.greatest(zero, F.least(F.col("__size"), F.col("__whole") - F.col("__passes") * F.col("__source_size") - F.col("__offset")))
-    return joined.withColumn("__over", over).withColumn("__taken", F.col("__passes") * F.col("__size") + F.col("__over"))
+    prime = F.lit(PRIMES[-1]).cast("long")
+    for p in PRIMES[-2::-1]:
+        prime = F.when(F.col("__quota") % p != 0, F.lit(p).cast("long")).otherwise(prime)
+    joined = joined.withColumn("__prime", prime).withColumn("__turn", F.pmod(F.xxhash64(F.lit(seed), "__key"), F.lit(1 << 31)))
+    return joined.withColumn("__over", over).withColumn("__taken", _dealt_words())
+
+
+def _shard(number: Column) -> Column:
+    """The shard of a source's block, by its place in the permutation; the number of shards where no shard's quota reaches it."""
+    drawn = F.pmod(number * F.col("__prime") + F.col("__turn"), F.greatest("__quota", F.lit(1).cast("long")))
+    return F.aggregate("__ends", F.lit(0), lambda a, e: a + F.when(e <= drawn, 1).otherwise(0))
+
+
+def _dealt_words() -> Column:
+    """How many words of a document's copies lie before the target's end in blocks that the tree deals to shards."""
+    zero, block = F.lit(0).cast("long"), F.col("__block_words")
+
+    def of_copy(copy: Column) -> Column:
+        start = copy * F.col("__source_size") + F.col("__offset")
+        stop = F.least(start + F.col("__size"), F.col("__whole"))
+        numbers = F.when(stop > start, F.sequence(F.floor(start / block), F.floor((stop - 1) / block)))
+        words = lambda n: F.least(stop, (n + 1) * block) - F.greatest(start, n * block)
+        return F.coalesce(F.aggregate(numbers, zero, lambda s, n: s + F.when(_shard(n) < F.size("__ends"), words(n)).otherwise(zero)), zero)
+
+    return F.aggregate(F.sequence(zero, F.col("__passes")), zero, lambda s, copy: s + of_copy(copy))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -155,8 +179,9 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     """docs with size, source_size, target and taken; where docs has such a name itself, the new one ends in '_'.
 
     Null is a source of its own, after all others. Null and empty texts have size 0 and are taken 0 times.
-    Rows that repeat are documents of their own. Each source's taken words are its target, rounded: whole
-    documents but for the one at the end of the target. An empty table gives an empty one.
+    Rows that repeat are documents of their own. taken counts the words in the blocks that are dealt to shards.
+    As the tree deals every block, each source's taken words are its target, rounded: whole documents but for
+    the one at the end of the target. An empty table gives an empty one.
     """
     rows, names = _numbered(docs)
     plan = _plan(rows, names[doc_id], names[text], names[source], seed, depth)
@@ -176,13 +201,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     dealt = plan.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(zero, F.col("__copies") - 1)))
     number = F.floor((F.col("__copy") * F.col("__source_size") + F.col("__offset")) / F.col("__block_words"))
     number = F.least(F.greatest(number, zero), F.greatest(F.col("__quota") - 1, zero))
-    prime = F.lit(PRIMES[-1]).cast("long")
-    for p in PRIMES[-2::-1]:
-        prime = F.when(F.col("__quota") % p != 0, F.lit(p).cast("long")).otherwise(prime)
-    drawn = F.pmod(number * prime + F.pmod(F.xxhash64(F.lit(seed), "__key"), F.lit(1 << 31)), F.greatest("__quota", one))
-    dealt = dealt.withColumn("__drawn", drawn)
-    shard = F.aggregate("__ends", F.lit(0), lambda a, e: a + F.when(e <= F.col("__drawn"), 1).otherwise(0))
-    shard = F.coalesce(F.least(shard, F.lit((1 << depth) - 1)), F.lit(0))
+    shard = F.coalesce(F.least(_shard(number), F.lit((1 << depth) - 1)), F.lit(0))
     place = F.xxhash64(F.lit(seed + 1), names[doc_id], "__copy")
     return dealt.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("__copy").alias(own_name(docs, "copy")), shard.alias(own_name(docs, "shard")), place.alias(own_name(docs, "place")))
 

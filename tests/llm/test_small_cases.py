@@ -125,6 +125,23 @@ def test_mixing(spark, docs, none, texts):
     assert m.columns == [*docs.columns, "copy", "shard_", "place"] and m.where("shard_ < 0 or shard_ > 7").count() == 0
 
 
+def test_dealt_blocks_decide_what_is_taken(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 90 + 1)), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    whole = {r["doc_id"]: r["taken"] for r in mixing.mix_plan(docs).collect()}
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: split(*a).where("shard < 4"))
+    half = {r["doc_id"]: r["taken"] for r in mixing.mix_plan(docs).collect()}
+    assert all(half[i] <= whole[i] for i in whole) and 0.3 < sum(half.values()) / sum(whole.values()) < 0.7
+
+
+def test_pipeline_keeps_the_order_of_shards(spark, docs):
+    import corpus_pipeline
+
+    want = [r["doc_id"] for r in mixing.mix(docs).orderBy("shard_", "place").collect()]
+    got = corpus_pipeline.mix_sources(spark, docs, "")
+    assert got.columns == docs.columns and [r["doc_id"] for r in got.collect()] == want
+
+
 def test_hypergeometric_split_is_exact(spark):
     q = spark.createDataFrame([("a", 1000), ("b", 37), (None, 0), ("c", 512)], "source string, quota long")
     rows = mixing.split_quotas(q, 3, 5).collect()
