@@ -1,10 +1,15 @@
-"""Approximate nearest neighbours: cross-polytope hashing.
+"""Nearest neighbours: cross-polytope hashing, and what it leaves out, exactly.
 
 Each table turns unit vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard
 transform) and puts a vector in the cell of its nearest signed axis. A query looks in the cells of its
 several nearest axes in each table; all vectors found there are scored exactly, in double precision.
 
-Only distinct vectors are hashed. Of the ids of one vector only the smallest k + 1 can be among a query's
+The worst of the best scores so found is a bound: no neighbour scores less. With it each query passes all
+cells of the first table, which hold every vector once, and leaves out those whose ball (centre, radius)
+cannot reach it. So nothing is lost, whatever the vectors' lengths, clusters or number; where balls do not
+part the vectors, as among random ones, every pair is scored.
+
+Only distinct vectors take part. Of the ids of one vector only the smallest k + 1 can be among a query's
 nearest, so no more are carried, whatever the number of copies. A cell of many vectors is cut into blocks,
 each a task's share, and each block returns its best k + 1 for each query.
 """
@@ -107,14 +112,39 @@ def _best(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
+def _above(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
+    """For each query the members that score its bound at least, but of each cell no more than the k best with all of the last score.
+
+    What rounding may have moved below an edge is kept: the scores that decide are made later, in one order of sums.
+    """
+    out = [pd.DataFrame({"query": pd.Series(dtype=str), "key": pd.Series(dtype=str)})]
+    if not len(queries) or not len(members):
+        return out[0]
+    q, bound, names = np.stack(queries["v"].to_list()), queries["bound"].to_numpy(np.float64), queries["key"].to_numpy()
+    length = np.linalg.norm(q, axis=1)
+    for _, part in members.groupby(["cell", "block"]):
+        x, keys = np.stack(part["v"].to_list()), part["key"].to_numpy()
+        centre = x.mean(0)
+        slack = 1e-12 * length * np.linalg.norm(x, axis=1).max()
+        reach = q @ centre + length * np.linalg.norm(x - centre, axis=1).max()
+        alive = np.nonzero(reach >= bound - 2 * slack)[0]
+        for lo in range(0, len(alive), 512):
+            at = alive[lo : lo + 512]
+            s = q[at] @ x.T
+            edge = np.maximum(bound[at], np.partition(s, -k, axis=1)[:, -k]) if s.shape[1] > k else bound[at]
+            rows, cols = np.nonzero(s >= (edge - slack[at])[:, None])
+            out.append(pd.DataFrame({"query": names[at[rows]], "key": keys[cols]}))
+    return pd.concat(out, ignore_index=True)
+
+
 def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20, k: int = K, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """For each row whose id is divisible by `every`, its k nearest other rows among those found: query_id, rank, vec_id, score.
+    """For each row whose id is divisible by `every`, its k nearest other rows: query_id, rank, vec_id, score.
 
     Largest inner product first, ties to the smaller id. Vectors that are null, empty, zero, or hold null or
     non-finite components take no part, nor do null ids; vectors of different length do not meet. A row that
-    repeats with its id is another candidate of the same id. If all vectors that a query finds are fewer than k, all are
-    returned. Vectors are hashed by direction, so where lengths differ much long vectors off a query's axes
-    may be missed. Empty tables give no rows; extra columns are not read.
+    repeats with its id is another candidate of the same id. If there are fewer than k others, all are
+    returned. tables and probes decide how tight the bounds are, not what is returned. Empty tables give no
+    rows; extra columns are not read.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -134,7 +164,20 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     # One score for a pair: products of another block size may differ in the last bit.
     pairs = found.groupBy("query", "key").agg(F.max("score").alias("score"))
     few = pairs.withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12))))).where(F.col("r") <= k + 1).drop("r")
-    few = settled(few, "found")
+    # With k + 1 vectors found, the query's own among them, no neighbour scores less than the last.
+    bounds = few.groupBy("query").agg(F.when(F.count(F.lit(1)) > k, F.min("score") - 2e-12).alias("bound"))
+    asking = queries.join(bounds, F.col("key") == F.col("query"), "left").select("key", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), F.size("v").alias("width"))
+    # Cells of the first table, put together to units of about a block.
+    first = sizes.where(F.shiftright("cell", 24) % 256 == 0).select("cell", (F.col("n") / F.col("blocks")).alias("share"), F.shiftright("cell", 32).cast("int").alias("width"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    so_far = F.sum("share").over(Window.partitionBy("width").orderBy("cell", "block"))
+    units = settled(first.select("cell", "block", "width", F.floor((so_far - F.col("share")) / BLOCK).alias("unit")), "units")
+    held = members.join(F.broadcast(units), ["cell", "block"]).select("key", "v", "cell", "block", "width", "unit")
+    asking = asking.join(F.broadcast(units.groupBy("width", F.col("unit").alias("part")).count()), "width").select("key", "v", "bound", "width", F.col("part").alias("unit"))
+
+    def rest_of(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        return _above(q, x, k + 1)
+
+    few = settled(asking.groupBy("width", "unit").cogroup(held.groupBy("width", "unit")).applyInPandas(rest_of, "query string, key string"), "found")
     exact = F.aggregate(F.zip_with("qv", "xv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = few.join(distinct.select(F.col("key").alias("query"), F.col("v").alias("qv")), "query").join(distinct.select("key", F.col("v").alias("xv"), "ids"), "key").select("query", "ids", exact.alias("score"))
     listed = scored.select("query", "score", F.explode("ids").alias("vec_id"))

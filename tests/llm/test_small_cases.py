@@ -94,6 +94,36 @@ def test_neighbours(spark):
     assert ann.nearest(v.limit(0), k=5).count() == 0
 
 
+def _clusters(rng):
+    """Tight clusters, and lone queries off all of them."""
+    centres = rng.normal(size=(8, 64))
+    x = centres[rng.integers(8, size=1500)] + 0.05 * rng.normal(size=(1500, 64))
+    x[::150] = rng.normal(size=(10, 64))
+    return x
+
+
+@pytest.mark.parametrize("kind", ["lengths", "few long", "clusters", "fifteen"])
+def test_neighbours_are_all_there(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(15 if kind == "fifteen" else 1500, 64))
+    if kind == "lengths":
+        x *= rng.lognormal(sigma=0.5, size=(1500, 1))
+    elif kind == "few long":
+        x[::10] *= 3
+    elif kind == "clusters":
+        x = _clusters(rng)
+    every = 5 if kind == "fifteen" else 150
+    # Several units, and cells of several blocks.
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), every=every).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in range(0, len(x), every):
+        s = x @ x[q]
+        want = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], i))[:20]
+        assert [got[q][k] for k in range(1, len(want) + 1)] == want and len(got[q]) == len(want)
+
+
 def test_mixing(spark, docs, none, texts):
     got = mixing.mix_plan(docs).select("doc_id", "text", "source", "size_", "source_size", "target", "taken").collect()
     assert len(got) == len(texts) and mixing.mix_plan(none).count() == 0 and mixing.mix(none).count() == 0
