@@ -15,6 +15,7 @@ are passed over in one step, by a power of one matrix: the marginals are those o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,14 +28,13 @@ from pyspark.sql import types as T
 from passagix.llm.common import discarded, settled, ship, table, train_part
 
 WORD = re.compile(r"\w+")
-#: A word of the lexicon is in so many toxic documents at least, and in such a share of them, and its odds there are so many times those elsewhere.
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 40.0
+#: A word of the lexicon is in so many toxic documents at least, and its odds there are so many times those elsewhere;
+#: either it is in such a share of them, or chance alone would put so many of its documents among them less often than CHANCE.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, CHANCE = 3, 0.01, 40.0, 1e-9
 #: Letters of a beginning; words that are longer have it as a feature, written with a '~'.
 BEGIN = 4
-#: The longest lexicon; the words of the highest odds stay.
-MAX_LEXICON = 20_000
-#: Documents of each label, by order of a hash, whose tokens the chain is trained on, and windows of each.
-TRAIN_DOCS, TRAIN_WINDOWS = 1500, 8
+#: Documents of each label, by order of a hash, whose tokens the chain is trained on.
+TRAIN_DOCS = 1500
 WINDOW = 9
 ROUNDS, RATE, DECAY = 300, 0.1, 1e-3
 THRESHOLD = 0.3
@@ -167,39 +167,46 @@ def lexicon(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> di
         return {}
     counts = known.mapInArrow(run, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     odds = (F.col("bad") + 0.25) / (n[1] - F.col("bad") + 0.5) / ((F.col("clean") + 0.25) / (n[0] - F.col("clean") + 0.5))
-    found = counts.where(F.col("bad") >= F.greatest(F.lit(LEAST_DOCS), F.lit(LEAST_SHARE * n[1]))).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    return {r["word"]: float(np.log(r["odds"])) for r in found.orderBy(F.desc("odds"), "word").limit(MAX_LEXICON).collect()}
+    # Chernoff's bound: of m documents, so many are toxic by chance with a probability of exp(-evidence) at most.
+    share, m = n[1] / (n[0] + n[1]), F.col("bad") + F.col("clean")
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (m * F.lit(p)))).otherwise(0.0)
+    evidence = part("bad", share) + part("clean", 1 - share)
+    found = counts.where((F.col("bad") >= LEAST_DOCS) & ((F.col("bad") >= LEAST_SHARE * n[1]) | (evidence >= -float(np.log(CHANCE))))).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    return {r["word"]: float(np.log(r["odds"])) for r in found.orderBy(F.desc("odds"), "word").collect()}
 
 
 def _counts(sums: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], names=["word", "clean", "bad"])
 
 
-def windows(words: list[str], lex: dict[str, float], most: int = TRAIN_WINDOWS) -> list[list[str]]:
-    """Runs of WINDOW tokens around the lexicon's words, and one from the middle."""
+def windows(words: list[str], lex: dict[str, float]) -> list[list[str]]:
+    """Runs of WINDOW tokens that together hold all of the lexicon's words, and one from the middle."""
     out, end, lookup = [], -1, Lookup(lex)
     for i, w in enumerate(words):
         if i >= end and lookup[w] is not None:
             lo = max(0, i - WINDOW // 2)
             end = lo + WINDOW
             out.append(words[lo:end])
-            if len(out) >= most:
-                break
     mid = len(words) // 2
     return [*out, words[mid : mid + WINDOW]]
 
 
-def train_chain(samples: list[tuple[list[str], int]], lex: dict[str, float]) -> ToxicModel:
-    """Maximum likelihood with decay, by gradient steps over all windows at once. samples: tokens and whether their document is toxic."""
+def features(window: list[str], lex: dict[str, float]) -> list[str]:
+    """The window with what the lexicon does not have as '', and a word of which it has only the beginning as that and a blank."""
+    return [w if w in lex else f"{w[:BEGIN]} " if any(u in lex for u in units(w)) else "" for w in window]
+
+
+def train_chain(samples: list[tuple[list[str], int, int]], lex: dict[str, float]) -> ToxicModel:
+    """Maximum likelihood with decay, by gradient steps over all windows at once. samples: tokens, whether their document is toxic, and how often there are such."""
     names = sorted(lex)
     place = {w: i for i, w in enumerate(names)}
-    samples = [(w[:WINDOW], y) for w, y in samples if w]
+    samples = [(w[:WINDOW], y, times) for w, y, times in samples if w]
     if not samples or not names:
         return ToxicModel(dict(lex))
-    n = len(samples)
+    n, times = len(samples), np.array([x[2] for x in samples], float)
     word, mask = np.full((n, WINDOW, 2), len(names)), np.zeros((n, WINDOW), bool)
     y = np.zeros((n, WINDOW), int)
-    for k, (tokens, bad) in enumerate(samples):
+    for k, (tokens, bad, _) in enumerate(samples):
         mask[k, : len(tokens)] = True
         for t, w in enumerate(tokens):
             for f, u in enumerate(units(w)):
@@ -230,13 +237,13 @@ def train_chain(samples: list[tuple[list[str], int]], lex: dict[str, float]) ->
             g[:, t] = np.where(mask[:, t + 1, None], on, g[:, t + 1])
         z = np.logaddexp(f[:, -1, 0], f[:, -1, 1])
         p1 = np.exp(f[..., 1] + g[..., 1] - z[:, None])
-        d = (y - p1) * mask
-        pair = np.exp(f[:, :-1, :, None] + s + (u[:, 1:] + g[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[..., None, None]
+        d = (y - p1) * mask * times[:, None]
+        pair = np.exp(f[:, :-1, :, None] + s + (u[:, 1:] + g[:, 1:])[:, :, None, :] - z[:, None, None, None]) * (both * times[:, None])[..., None, None]
         seen = np.zeros((2, 2))
-        np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
+        np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), np.broadcast_to(times[:, None], both.shape)[both])
         grad = {"w": np.bincount(word.ravel(), np.repeat(d.ravel(), 2), len(names) + 1), "b": np.array([d.sum()]), "c": np.array([(d * near).sum()]), "s": seen - pair.sum((0, 1))}
         for k, v in theta.items():
-            q = grad[k] / n - DECAY * v / max(1, v.size)
+            q = grad[k] / times.sum() - DECAY * v / max(1, v.size)
             m1[k] = 0.9 * m1[k] + 0.1 * q
             m2[k] = 0.999 * m2[k] + 0.001 * q * q
             v += RATE * (m1[k] / (1 - 0.9**r)) / (np.sqrt(m2[k] / (1 - 0.999**r)) + 1e-8)
@@ -245,7 +252,7 @@ def train_chain(samples: list[tuple[list[str], int]], lex: dict[str, float]) ->
 
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ToxicModel:
-    """Lexicon over all labelled documents; the chain on TRAIN_DOCS documents of each label, of which the driver gets short windows only."""
+    """Lexicon over all labelled documents; the chain on TRAIN_DOCS documents of each label, of which the driver gets the distinct short windows, as their features and counts."""
     lex = lexicon(labelled, text, toxic)
     spark = labelled.sparkSession
     sent = spark.sparkContext.broadcast(lex)
@@ -256,12 +263,11 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bad, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            found = [windows(words_of(t), sent.value) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int32()), pa.array(found, pa.list_(pa.list_(pa.string()))), pa.array([len(x) > 1 for x in found], pa.bool_())], names=["toxic", "windows", "hit"])
+            found = Counter((y, tuple(features(w, sent.value))) for y, t in zip(bad, texts, strict=True) for w in windows(words_of(t), sent.value))
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([w for _, w in found], pa.list_(pa.string())), pa.array(list(found.values()), pa.int64())], names=["toxic", "window", "times"])
 
-    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("windows", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("hit", T.BooleanType())])
-    rows = known.join(F.broadcast(picked), "id").select("toxic", "text").mapInArrow(run, schema).collect()
-    model = train_chain(sorted((list(w), r["toxic"]) for r in rows for w in r["windows"]), lex)
+    rows = known.join(F.broadcast(picked), "id").select("toxic", "text").mapInArrow(run, "toxic int, window array<string>, times long").groupBy("toxic", "window").agg(F.sum("times").alias("times")).collect()
+    model = train_chain(sorted((list(r["window"]), r["toxic"], r["times"]) for r in rows), lex)
     chain = spark.sparkContext.broadcast(model)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -246,6 +246,30 @@ def test_toxicity(spark, docs, none):
     assert {r["predicted"] for r in toxicity.score_toxicity(d, toxicity.fit(toxicity.labelled_documents(d, y.limit(0)))).collect()} == {0}
 
 
+def test_lexicon_has_what_few_of_many_toxic_documents_hold(spark):
+    from pyspark.sql import functions as F
+
+    bad = F.col("id") < 1000
+    text = F.concat(F.when(F.col("id") < 9, "vile ").otherwise(""), F.when(bad, "slur ").otherwise(""), F.lit("w"), F.col("id") % 50)
+    lex = toxicity.lexicon(spark.range(20_000).select(text.alias("text"), bad.cast("int").alias("toxic")))
+    assert set(lex) == {"slur", "vile"}
+
+
+def test_training_windows_hold_the_whole_text():
+    words = [f"slur{i}" if i % 100 == 50 else "w" for i in range(3000)]
+    lex = {"slur~": 3.0, "slur50": 3.0}
+    found = toxicity.windows(words, lex)
+    assert {w for x in found for w in x} == {"w", *(f"slur{i}" for i in range(50, 3000, 100))}
+    assert toxicity.features(["slur50", "slur150", "w"], lex) == ["slur50", "slur ", ""]
+    samples = [(toxicity.features(w, lex), 1) for w in found] + [(["", "", ""], 0)] * 40
+    counted = {}
+    for w, y in samples:
+        counted[tuple(w), y] = counted.get((tuple(w), y), 0) + 1
+    one = toxicity.train_chain([(w, y, 1) for w, y in samples], lex)
+    many = toxicity.train_chain([(list(w), y, n) for (w, y), n in counted.items()], lex)
+    assert len(counted) < len(samples) and one.words == pytest.approx(many.words) and one.step == pytest.approx(many.step) and one.bias == pytest.approx(many.bias)
+
+
 def _components(bits, max_bits=3):
     f = np.array(bits, np.uint64)
     near = np.bitwise_count(f[:, None] ^ f[None]) <= max_bits
