@@ -42,7 +42,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        # Hashes and ids hardly repeat, so dictionaries of them are built for nothing.
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
