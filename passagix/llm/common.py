@@ -32,18 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as written to a new table in the shared folder and read again: it cuts the lineage, and lost executors don't lose it.
 
-    The shuffle files of the write go as soon as it has ended, as nothing reads them again.
+    The shuffle files of the write go as soon as it has ended, as nothing reads them again. options: of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        # Hashes and ids hardly repeat, so dictionaries of them are built for nothing.
-        df.write.option("parquet.enable.dictionary", "false").parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
