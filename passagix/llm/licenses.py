@@ -2,9 +2,10 @@
 
 Every rolling word k-gram hash of a document is joined to the places where that hash stands in the license
 templates. A match at word p of the document and word q of a template votes for the diagonal p - q: an
-undisturbed copy puts all its votes on one. Votes are counted by diagonal, neighbouring diagonals (a word
-was added or left out) are merged into spans, and spans are checked by their words. Templates are a fixed
-list, so their side of the join is broadcast; documents never meet each other.
+undisturbed copy puts all its votes on one, and no two copies share one. Votes are gathered by diagonal, and each
+diagonal is merged with its neighbours (a word was added or left out), whatever else of the template stands
+in the text; a place of the template counts once. Templates are a fixed list, so their side of the join is
+broadcast; documents never meet each other.
 """
 
 from __future__ import annotations
@@ -79,8 +80,8 @@ def templates(spark: SparkSession, phrases: list[tuple[str, str]] = PHRASES, not
 def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """Verified diagonals and one row of its own (template -1) for each document, by the document's row number.
 
-    Returns row, doc_id, template, label, base, n_grams, diagonal, votes, start, stop (words, stop exclusive)
-    and, in the document's own row, n_words.
+    Returns row, doc_id, template, label, base, n_grams, diagonal, places (of the template, that voted for it) and
+    start, the first word; in the document's own row that is its number of words.
     """
     known = templates(docs.sparkSession) if known is None else known
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(text).alias("words"))
@@ -96,28 +97,33 @@ def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     hits = hits.where((F.col("template") >= 0) | (F.col("i") == 2 * n)).where((F.col("template") < 0) | (F.slice("words", F.col("place") + 1, F.greatest("k", F.lit(1))) == F.col("gram")))
     return (
         hits.groupBy("row", "doc_id", "template", "label", "base", "n_grams", (F.col("place") - F.col("at")).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("start"), (F.max("place") + F.max("k")).alias("stop"))
+        .agg(F.collect_set("at").alias("places"), F.min("place").alias("start"))
     )
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE, slack: int = SLACK) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans.
 
-    Base: places where all words of a phrase stand consecutively. labels adds those of notices of which
-    merged diagonals hold at least the share coverage of the k-grams. score is the largest such share over
-    all templates, found or not (0 without any vote). Null and empty texts have no words, no labels ('')
-    and score 0; repeated rows stay repeated; ids may be null. An empty table gives an empty one.
+    Base: places where all words of a phrase stand consecutively. labels adds those of notices of which a
+    diagonal and its neighbours (slack words to either side) hold at least the share coverage of the k-grams.
+    score is the largest such share over all templates, found or not (0 without any vote). Of notices that
+    overlap all labels stand. Null and empty texts have no words, no labels ('') and score 0; texts of any
+    length are read to their ends; repeated rows stay repeated; ids may be null. Extra columns are not read,
+    whatever their names. An empty table gives an empty one.
     """
     spans = license_spans(docs, doc_id, text)
-    by_place = Window.partitionBy("row", "template").orderBy("start", "diagonal")
-    apart = F.coalesce((F.abs(F.col("diagonal") - F.lag("diagonal").over(by_place)) > slack) | (F.col("start") - F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1)) > slack + K_NOTICE), F.lit(True))
-    merged = spans.withColumn("apart", F.when(F.col("base"), 1).otherwise(apart.cast("int")))
-    merged = merged.withColumn("span", F.sum("apart").over(by_place))
-    found = merged.groupBy("row", "doc_id", "template", "label", "base", "n_grams", "span").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"))
-    share = F.when(F.col("template") >= 0, F.least(F.lit(1.0), F.col("votes") / F.greatest("n_grams", F.lit(1)))).otherwise(0.0)
-    found = found.withColumn("share", share)
-    whole = F.col("base") & (F.col("votes") == F.col("n_grams"))
+    by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal")
+    near = F.flatten(F.collect_list("places").over(by_diagonal.rangeBetween(-slack, slack)))
+    merged = F.when(F.col("base"), F.size("places")).otherwise(F.size(F.array_distinct(near)))
+    share = F.when(F.col("template") >= 0, merged / F.greatest("n_grams", F.lit(1))).otherwise(0.0)
+    found = spans.withColumn("share", share)
+    whole = F.col("base") & (F.size("places") == F.col("n_grams"))
     kept = whole | (~F.col("base") & (F.col("template") >= 0) & (F.col("share") >= coverage))
+    found = found.withColumn("kept", kept)
+    # Diagonals of one copy count as one span.
+    last = F.last(F.when(F.col("kept"), F.col("diagonal")), ignorenulls=True).over(by_diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("first_of_span", F.col("kept") & (F.col("base") | last.isNull() | (F.col("diagonal") - last > slack)))
+    kept = F.col("kept")
     named = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     return found.groupBy("row", "doc_id").agg(
         F.max(F.when(F.col("template") < 0, F.col("start"))).cast("long").alias("n_words"),
@@ -127,7 +133,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
         named(whole).alias("base_labels"),
         named(kept).alias("labels"),
         F.max("share").alias("score"),
-        F.sum(kept.cast("long")).alias("n_spans"),
+        F.sum(F.col("first_of_span").cast("long")).alias("n_spans"),
     ).drop("row")
 
 
@@ -151,14 +157,13 @@ p AS (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c, w[i + 4] AS
 hit AS (
   SELECT doc_id, template, label, base, k, n_grams, pl, i FROM p JOIN g ON g.k = 2 AND p.a = g.a AND p.b = g.b
   UNION ALL SELECT doc_id, template, label, base, k, n_grams, pl, i FROM p JOIN g ON g.k = 4 AND p.a = g.a AND p.b = g.b AND p.c = g.c AND p.d = g.d),
-diag AS (SELECT doc_id, template, label, base, n_grams, i - pl AS diagonal, count(*) AS votes, min(i) AS start, max(i) + max(k) AS stop FROM hit GROUP BY doc_id, template, label, base, n_grams, i - pl),
-cut AS (SELECT *, CASE WHEN base THEN 1 ELSE coalesce((abs(diagonal - lag(diagonal) OVER o) > {SLACK} OR start - max(stop) OVER (PARTITION BY doc_id, template ORDER BY start, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {SLACK + K_NOTICE})::int, 1) END AS apart
-  FROM diag WINDOW o AS (PARTITION BY doc_id, template ORDER BY start, diagonal)),
-span AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY start, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM cut),
-found AS (SELECT doc_id, label, base, n_grams, sum(votes) AS votes, min(start) AS start, least(1.0::double, sum(votes) / n_grams::double) AS share FROM span GROUP BY doc_id, template, label, base, n_grams, span),
-marked AS (SELECT *, base AND votes = n_grams AS whole, (base AND votes = n_grams) OR (NOT base AND share >= {COVERAGE}) AS kept FROM found),
+diag AS (SELECT doc_id, template, label, base, n_grams, i - pl AS diagonal, count(*) AS votes, min(i) AS start FROM hit GROUP BY doc_id, template, label, base, n_grams, i - pl),
+near AS (SELECT d.doc_id, d.template, d.diagonal, count(DISTINCT h.pl) AS votes FROM diag d JOIN hit h ON h.doc_id = d.doc_id AND h.template = d.template AND abs(h.i - h.pl - d.diagonal) <= {SLACK} GROUP BY d.doc_id, d.template, d.diagonal),
+found AS (SELECT d.*, CASE WHEN base THEN d.votes ELSE near.votes END / n_grams::double AS share FROM diag d JOIN near USING (doc_id, template, diagonal)),
+good AS (SELECT *, base AND votes = n_grams AS whole, (base AND votes = n_grams) OR (NOT base AND share >= {COVERAGE}) AS kept FROM found),
+marked AS (SELECT *, kept AND (base OR NOT EXISTS (SELECT 1 FROM good o WHERE o.kept AND o.doc_id = g.doc_id AND o.template = g.template AND g.diagonal - o.diagonal BETWEEN 1 AND {SLACK})) AS opens FROM good g),
 r AS (SELECT doc_id, count(*) FILTER (whole) AS n_base, min(start) FILTER (whole) AS first_word, max(start) FILTER (whole) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kept) AS labels, max(share) AS score, count(*) FILTER (kept) AS n_spans
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kept) AS labels, max(share) AS score, count(*) FILTER (opens) AS n_spans
   FROM marked GROUP BY doc_id)
 SELECT doc.doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::double) AS score, coalesce(n_spans, 0)::bigint AS n_spans
