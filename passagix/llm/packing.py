@@ -4,8 +4,9 @@ Documents become token pieces of at most a sequence's length. Full pieces are se
 others are dealt by a hash into cells of about CELL pieces, so that a packing fits one task whatever the
 corpus. Each cell is packed by several islands, each with a population of packings: crossover injects whole
 well-filled bins of one packing into another, takes out the bins that hold a piece twice, and best-fits the
-displaced pieces. Between epochs the best packing of each island moves on to the next; at the end the best
-of all is the cell's. Where an epoch ends, its packings are written to the shared folder.
+displaced pieces. Between epochs each island keeps its population, and its best packing moves on to the next
+island, where it takes the place of the worst; at the end the best of all is the cell's. Where an epoch ends,
+its populations are written to the shared folder. Epochs end when every cell is at its lower bound.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagix.llm.common import settled, ship, table
+from passagix.llm.common import discarded, settled, ship, table
 from passagix.llm.tokens import encoder, public
 
 LENGTH = 2048
-#: Pieces of a cell, islands of a cell, epochs, packings of an island, crossovers of an epoch.
-CELL, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 16384, 2, 2, 6, 40
+#: Pieces of a cell, islands of a cell, epochs (one migration fewer), packings of an island, crossovers of an epoch.
+CELL, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 16384, 2, 4, 6, 40
 SEED = 31
 
 
@@ -118,7 +119,15 @@ def from_labels(sizes: list[int], labels: list[int]) -> tuple[list[list[int]], l
 
 
 def evolve(sizes: list[int], given: list[list[int]], seed: tuple[int, ...], length: int = LENGTH, population: int = POPULATION, crossovers: int = CROSSOVERS) -> list[int]:
-    """The bin of each item in the best packing found. given: packings to start from; the rest of the population are shuffled best fits."""
+    """The bin of each item in the best packing found (see evolved)."""
+    return evolved(sizes, given, seed, length, population, crossovers)[0]
+
+
+def evolved(sizes: list[int], given: list[list[int]], seed: tuple[int, ...], length: int = LENGTH, population: int = POPULATION, crossovers: int = CROSSOVERS) -> list[list[int]]:
+    """The population after so many crossovers, the bin of each item in each packing, best packing first; only that one if it is at the lower bound.
+
+    given: packings to start from, of which the best are kept if they are too many; the rest of the population are shuffled best fits.
+    """
     rng = np.random.default_rng(list(seed))
     n = len(sizes)
     lower = -(-sum(sizes) // length)
@@ -127,6 +136,7 @@ def evolve(sizes: list[int], given: list[list[int]], seed: tuple[int, ...], leng
         bins, fills = [], []
         best_fit(sizes, list(range(n)), bins, fills, length)
         group.append((bins, fills))
+    group = sorted(group, key=lambda g: fitness(g[1], length), reverse=True)[:population]
     while len(group) < population and len(group[0][0]) > lower:
         # Some pieces come first, in no order; the rest are best-fitted around them.
         bins, fills = [], []
@@ -147,15 +157,26 @@ def evolve(sizes: list[int], given: list[list[int]], seed: tuple[int, ...], leng
         worst = min(range(len(group)), key=score.__getitem__)
         if got > score[worst] and got not in score:
             group[worst], score[worst] = child, got
-    bins = group[max(range(len(group)), key=score.__getitem__)][0]
-    labels = [0] * n
-    for i, b in enumerate(bins):
-        for x in b:
-            labels[x] = i
-    return labels
+    order = sorted(range(len(group)), key=score.__getitem__, reverse=True)
+    if len(group[order[0]][0]) <= lower:
+        order = order[:1]
+    out = []
+    for g in order:
+        labels = [0] * n
+        for i, b in enumerate(group[g][0]):
+            for x in b:
+                labels[x] = i
+        out.append(labels)
+    return out
+
 
+#: labels: of each packing of an island, best first; over: bins of the best beyond the lower bound.
+ISLAND = "cell long, island int, items array<long>, sizes array<int>, labels array<array<int>>, n_bins int, over int"
 
-ELITE = "cell long, island int, items array<long>, sizes array<int>, labels array<int>, n_bins int"
+
+def _island(cell: int, island: int, ids: list[int], sizes: list[int], labels: list[list[int]], length: int) -> pd.DataFrame:
+    bins = max(labels[0], default=-1) + 1
+    return pd.DataFrame({"cell": [cell], "island": [island], "items": [ids], "sizes": [sizes], "labels": [labels], "n_bins": [bins], "over": [bins + sum(sizes) // -length]})
 
 
 def pack_items(items: DataFrame, length: int = LENGTH, islands: int = ISLANDS, epochs: int = EPOCHS, crossovers: int = CROSSOVERS, seed: int = SEED) -> DataFrame:
@@ -166,27 +187,29 @@ def pack_items(items: DataFrame, length: int = LENGTH, islands: int = ISLANDS, e
     cells = max(1, -(-rest.count() // CELL))
     dealt = rest.withColumn("cell", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(cells))).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
 
-    def row(cell: int, island: int, ids: list[int], sizes: list[int], labels: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({"cell": [cell], "island": [island], "items": [ids], "sizes": [sizes], "labels": [labels], "n_bins": [max(labels, default=-1) + 1]})
-
     def begin(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("item")
         sizes = x["length"].tolist()
-        return row(int(key[0]), int(key[1]), x["item"].tolist(), sizes, evolve(sizes, [], (seed, 0, int(key[0]), int(key[1])), length, crossovers=crossovers))
+        return _island(int(key[0]), int(key[1]), x["item"].tolist(), sizes, evolved(sizes, [], (seed, 0, int(key[0]), int(key[1])), length, crossovers=crossovers), length)
 
-    best = settled(dealt.select("cell", "island", "item", "length").groupBy("cell", "island").applyInPandas(begin, ELITE), "elite")
+    best = settled(dealt.select("cell", "island", "item", "length").groupBy("cell", "island").applyInPandas(begin, ISLAND), "islands")
     for epoch in range(1, epochs if islands > 1 else 1):
-        guests = best.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("labels").alias("guest"))
+        if best.groupBy("cell").agg(F.min("over").alias("over")).where("over > 0").isEmpty():
+            break
+        guests = best.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.get("labels", F.lit(0)).alias("guest"))
 
         def go_on(batches: Iterator[pd.DataFrame], epoch: int = epoch) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for r in b.itertuples():
-                    sizes = [int(v) for v in r.sizes]
-                    labels = evolve(sizes, [r.labels.tolist(), r.guest.tolist()], (seed, epoch, int(r.cell), int(r.island)), length, crossovers=crossovers)
-                    yield row(int(r.cell), int(r.island), r.items.tolist(), sizes, labels)
-
-        best = settled(best.join(guests, ["cell", "island"]).mapInPandas(go_on, ELITE), "elite")
-    chosen = best.groupBy("cell").agg(F.min_by(F.struct("items", "sizes", "labels"), F.struct("n_bins", "island")).alias("e"))
+                    sizes, own = [int(v) for v in r.sizes], [p.tolist() for p in r.labels]
+                    # The guest takes the place of the worst.
+                    given = [*own[: POPULATION - 1], r.guest.tolist()]
+                    yield _island(int(r.cell), int(r.island), r.items.tolist(), sizes, evolved(sizes, given, (seed, epoch, int(r.cell), int(r.island)), length, crossovers=crossovers), length)
+
+        after = settled(best.join(guests, ["cell", "island"]).mapInPandas(go_on, ISLAND), "islands")
+        discarded(best)
+        best = after
+    chosen = best.groupBy("cell").agg(F.min_by(F.struct("items", "sizes", F.get("labels", F.lit(0)).alias("labels")), F.struct("n_bins", "island")).alias("e"))
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
