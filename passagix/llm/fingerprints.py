@@ -3,8 +3,10 @@
 Of the 64-bit hashes of a text's word shingles, those below a fixed fraction of the range are kept, all of
 them. The number kept grows with the text, so the sketch of a union is the union of the sketches, and
 containment can be estimated between texts of very different length. A text of which no hash falls below
-the threshold keeps its smallest one, so that short texts are told apart; an empty text has an empty sketch.
-A sketch is written as its hashes' 32 bits below the threshold, ascending, in eight hex digits each.
+the threshold has its smallest one instead, so that short texts are told apart; being above the threshold it
+equals no kept hash, and it goes when its sketch is merged with one that has kept hashes, as it would in the
+sketch of the union. An empty text has an empty sketch. A sketch is written as its hashes, ascending, in
+sixteen hex digits each.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagix.llm.common import settled, ship, table
@@ -23,15 +25,17 @@ SHINGLE_WORDS = 5
 #: One hash in SCALE is kept.
 SCALE = 8
 SEED = 0
+#: Bytes of input for each range of ids, about; texts take a few times as much.
+RANGE_BYTES = 32 << 20
 
 
 def sketch(text: str | None, shingle_words: int = SHINGLE_WORDS, scale: int = SCALE) -> np.ndarray:
-    """The kept hashes, ascending, as unsigned 32-bit numbers. Words are split at ASCII white space, A-Z in lower case."""
+    """The kept hashes, ascending, or the smallest hash if none is kept. Words are split at ASCII white space, A-Z in lower case."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return np.empty(0, np.uint32)
+        return np.empty(0, np.uint64)
     whole, digest = b" ".join(words), xxhash.xxh3_64_intdigest
     n = max(1, len(words) - shingle_words + 1)
     if n == 1:
@@ -40,23 +44,26 @@ def sketch(text: str | None, shingle_words: int = SHINGLE_WORDS, scale: int = SC
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         h = np.array([digest(whole[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle_words - 1 :].tolist(), strict=True)], np.uint64)
-    top = np.uint64((1 << 64) // scale - 1)
-    kept = h[h <= top]
-    # Hashes under the threshold are spread over 2**64 / scale values; their next 32 bits are kept.
-    return np.unique(((kept if len(kept) else h.min(keepdims=True)) >> np.uint64(32 - (scale - 1).bit_length())).astype(np.uint32))
+    return thinned(h, scale)
+
+
+def thinned(h: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """What a sketch keeps of hashes."""
+    kept = h[h <= np.uint64((1 << 64) // scale - 1)]
+    return np.unique(kept if len(kept) else h[h == h.min()]) if len(h) else h
 
 
 def to_text(s: np.ndarray) -> str:
-    return s.astype(">u4").tobytes().hex()
+    return s.astype(">u8").tobytes().hex()
 
 
 def from_text(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u4").astype(np.uint32)
+    return np.frombuffer(bytes.fromhex(s), ">u8").astype(np.uint64)
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of what two sketches cover together."""
-    return np.union1d(a, b)
+def merged(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """The sketch of what two sketches cover together: that of the union of their shingles."""
+    return thinned(np.union1d(a, b), scale)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -86,11 +93,12 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _bounds(rows, ranges)
-    ranged = _numbered(rows, bounds)
-    # One row for each range, of which there are no more than shuffle partitions: its first document, and which range comes before.
+    # Rows without an id stand first, by their text's hash, so they are as many ranges as they need.
+    rows = rows.withColumn("known", F.col("doc_id").isNotNull()).withColumn("id", F.coalesce("doc_id", "h"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, -(-size // RANGE_BYTES)) if size < 1 << 62 else 1)
+    ranged = _numbered(rows, *_bounds(rows, ranges))
+    # One row for each range, of which there are no more than twice as many as partitions: its first document, and which range comes before.
     heads = settled(ranged.groupBy("range").agg(F.min(F.struct("id", "h")).alias("first")), "heads")
     before = heads.selectExpr("range", "first.id as head_id", "first.h as head_h", "coalesce(lag(range) over (order by range), max(range) over ()) as before")
     copies = F.when((F.col("id") == F.col("head_id")) & (F.col("h") == F.col("head_h")), F.array(F.struct(F.col("range"), F.lit(0).alias("last")), F.struct(F.col("before").alias("range"), F.lit(1).alias("last")))).otherwise(F.array(F.struct(F.col("range"), F.lit(0).alias("last"))))
@@ -104,21 +112,26 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return both.mapInArrow(_edits, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long")
 
 
-def _bounds(rows: DataFrame, ranges: int) -> list[int]:
-    """Ids that cut the rows into ranges of about equal counts; at most ranges - 1 of them."""
-    cuts = rows.select(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0]
-    return sorted(set(cuts or []))
+def _bounds(rows: DataFrame, ranges: int) -> tuple[list[int], list[int]]:
+    """Hashes of rows without an id, and ids of the others, that cut them into ranges of about equal counts; at most ranges - 1 of each."""
+    at = [i / ranges for i in range(1, ranges)] or [0.5]
+    cuts = rows.agg(*(F.percentile_approx(F.when(F.col("known") == known, F.col("id")), at, 10 * ranges) for known in (False, True))).first()
+    return tuple(sorted(set(c or [])) for c in cuts)
 
 
-def _numbered(rows: DataFrame, bounds: list[int]) -> DataFrame:
+def _numbered(rows: DataFrame, hashes: list[int], ids: list[int]) -> DataFrame:
     """rows with range, the number of bounds below id, by binary search: one step, one column."""
-    array, step = F.lit(bounds) if bounds else F.array().cast("array<long>"), 1 << max(0, len(bounds).bit_length() - 1)
-    rows = rows.withColumn("range", F.lit(0))
-    while step and bounds:
-        up = F.col("range") + F.lit(step)
-        rows = rows.withColumn("range", F.when(F.get(array, up - 1) < F.col("id"), up).otherwise(F.col("range")))
-        step >>= 1
-    return rows
+
+    def below(bounds: list[int]) -> Column:
+        found, array = F.lit(0), F.lit(bounds) if bounds else F.array().cast("array<long>")
+        step = 1 << max(0, len(bounds).bit_length() - 1)
+        while step and bounds:
+            # A one-element array binds what is found so far.
+            found = F.get(F.transform(F.array(found), lambda at, step=step: F.when(F.get(array, at + F.lit(step - 1)) < F.col("id"), at + F.lit(step)).otherwise(at)), F.lit(0))
+            step >>= 1
+        return found
+
+    return rows.withColumn("range", F.when(F.col("known"), below(ids) + F.lit(len(hashes) + 1)).otherwise(below(hashes)))
 
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
