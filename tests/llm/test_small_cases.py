@@ -71,6 +71,21 @@ def test_license_notice_with_a_word_changed(spark):
     assert got[1] == ("bsd", 1.0) and got[2][0] == "bsd" and 0.8 <= got[2][1] < 1 and got[3][0] == "" and 0 < got[3][1] < 0.8
 
 
+def test_license_notice_with_stray_words_of_its_own(spark):
+    """Words put in elsewhere vote for other diagonals, which stand between those of the copy by place; they take nothing from it."""
+    label, notice = licenses.NOTICES[1]
+    w = notice.split()
+    plain = list(w)
+    plain[12] = plain[70] = "filler"
+    plain.insert(45, "filler")
+    overlapping = " ".join(licenses.NOTICES[7][1].split()[:-1] + licenses.NOTICES[8][1].split())
+    d = spark.createDataFrame([(1, " ".join(plain)), (2, " ".join([*w[:40], *w[8:13], "filler", *w[45:]])), (3, overlapping), (4, " ".join([notice] * 3))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"].split(","), r["score"], r["n_spans"]) for r in licenses.scan_licenses(d).collect()}
+    n = len(re.findall('[a-z0-9]+', notice.lower())) - 3
+    assert label in got[1][0] and label in got[2][0] and got[2][1] == pytest.approx((n - 9) / n)
+    assert {"agpl", "lgpl"} <= set(got[3][0]) and got[4] == ([label], 1.0, 3)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16))
@@ -164,6 +179,19 @@ def test_dealt_blocks_decide_what_is_taken(spark, monkeypatch):
     assert all(half[i] <= whole[i] for i in whole) and 0.3 < sum(half.values()) / sum(whole.values()) < 0.7
 
 
+def test_another_seed_draws_other_blocks(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 90 + 1)), "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
+    one, two = ({r["doc_id"]: (r["taken"], r["shards"]) for r in mixing.mix_plan(docs, seed=seed).collect()} for seed in (17, 18))
+    assert one.keys() == two.keys() and sum(one[i] != two[i] for i in one) > 200
+    # What is left out lies in whole blocks all over the source, not behind one place of its order.
+    order = [r["doc_id"] for r in docs.where("source = 'c'").select("doc_id", mixing.order_of("doc_id", "text", 17).alias("h")).orderBy("h").collect()]
+    size = lambda i: i % 90 + 1
+    partly = [one[i][0] < size(i) * 2 for i in order] if any(one[i][0] > size(i) for i in order) else [one[i][0] == 0 for i in order]
+    assert sum(a != b for a, b in zip(partly, partly[1:], strict=False)) > 3
+    shards = {r["shard"] for r in mixing.mix(docs).collect()}
+    assert shards == set(range(8))
+
+
 def test_pipeline_keeps_the_order_of_shards(spark, docs):
     import corpus_pipeline
 
@@ -390,6 +418,25 @@ def test_crossovers_do_not_lose_pieces():
     assert packing.cut(1) == [(0, 1)] and packing.cut(4096) == [(0, 2048), (2048, 2048)] and packing.cut(2049) == [(0, 1), (1, 2048)]
 
 
+def test_islands_keep_what_they_bred_and_beat_best_fit(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(500, 1100, 700).tolist()
+    plain: tuple[list, list] = ([], [])
+    packing.best_fit(sizes, list(range(700)), *plain, 2048)
+    crossed = []
+    monkeypatch.setattr(packing, "crossover", lambda *a, f=packing.crossover: crossed.append(1) or f(*a))
+    first = packing.evolved(sizes, [], (1, 0), 2048, crossovers=150)
+    assert len(crossed) == 150 and len(first) == packing.POPULATION
+    after = packing.evolved(sizes, first, (1, 1), 2048, crossovers=150)
+    bins = lambda labels: max(labels) + 1
+    assert bins(after[0]) <= bins(first[0]) <= len(plain[1]) and bins(after[0]) < len(plain[1])
+    parts = lambda population: {frozenset(map(frozenset, packing.from_labels(sizes, x)[0])) for x in population}
+    assert parts(packing.evolved(sizes, first, (1, 1), 2048, crossovers=0)) == parts(first)
+    rows = spark.createDataFrame(list(enumerate(sizes)), "item long, length int")
+    packed = packing.pack_items(rows, crossovers=60).join(rows, "item").groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert len(packed) <= len(plain[1]) and max(r[1] for r in packed) <= 2048
+
+
 def test_fingerprints(docs, none, texts):
     got = fingerprints.fingerprint_edits(docs).collect()
     assert fingerprints.fingerprint_edits(none).count() == 0 and len(got) == len(texts)
@@ -418,6 +465,15 @@ def test_sketches_merge_and_contain():
     assert fingerprints.containment(b, a) == 1.0 and fingerprints.likeness(a, b) < 0.1
     assert 0.08 < len(a) / 20000 < 0.17 and (fingerprints.from_text(fingerprints.to_text(a)) == a).all()
     assert set(fingerprints.merged(a, b)) == set(a)
+    # The sketch of texts side by side but for shingles across the seam, by sets of shingles; short ones fall back on their smallest hash.
+    import xxhash
+
+    shingles = lambda t: {" ".join(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    for _ in range(60):
+        s, t = (" ".join(rng.choices(w, k=rng.randint(1, 14))) for _ in range(2))
+        hashes = sorted({xxhash.xxh3_64_intdigest(x.encode(), 0) for x in shingles(s) | shingles(t)})
+        under = [h for h in hashes if h < (1 << 64) // 8]
+        assert fingerprints.merged(fingerprints.sketch(s), fingerprints.sketch(t)).tolist() == (under or hashes[:1])
     assert fingerprints.likeness(fingerprints.sketch(""), fingerprints.sketch(None)) == 1.0 and len(fingerprints.sketch("x")) == 1
 
 
