@@ -51,9 +51,9 @@ def decode_sorted(data: bytes) -> list[int]:
 
 
 def size(n: str | Column) -> Column:
-    """Bytes of the code of a non-negative number below 2 ** 35."""
+    """Bytes of the code of a non-negative long."""
     c = F.col(n) if isinstance(n, str) else n
-    return F.lit(1) + sum((c >= 1 << k).cast("int") for k in (7, 14, 21, 28))
+    return F.lit(1) + sum((c >= 1 << k).cast("int") for k in range(7, 63, 7))
 
 
 @F.pandas_udf(T.BinaryType())

@@ -5,7 +5,9 @@ Extra key columns (a role, a weight) make one figure for each of their values in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,17 +72,18 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     return ndcg_by_query(run, qrels, k).join(recall_by_query(run, qrels, 100, keep_empty=True), "qid")
 
 
-def bootstrap(scores: DataFrame, column: str, rounds: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """(low, high) of the mean: means of resamples drawn by a hash of round and draw, cut at their sorted places int(n a / 2) and int(n (1 - a / 2)). (0, 0) without scores.
+def bootstrap(scores: DataFrame, column: str, rounds: int = 1000, alpha: float = 0.05, seed: int = 42, metric: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(low, high) of the mean, or of metric, which makes (round, m) of resampled rows (round and the columns of scores): values of resamples drawn by a hash of round and draw, cut at their sorted places int(n a / 2) and int(n (1 - a / 2)). (0, 0) without scores.
 
     The scores, one for each query, are numbered and spread over rounds; rounds x queries draws are made in parallel.
     """
-    numbered = scores.select(column, (F.row_number().over(Window.orderBy("qid")) - 1).alias("i"))
+    numbered = scores.select(*([column] if metric is None else scores.columns), (F.row_number().over(Window.orderBy("qid")) - 1).alias("i"))
     n = scores.agg(F.count(F.lit(1)).alias("n"))
     spark = scores.sparkSession
     drawn = spark.range(rounds).withColumnRenamed("id", "round").crossJoin(n).where("n > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     at = F.conv(F.substring(F.md5(F.concat_ws("|", "round", "draw", F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % F.col("n")
-    means = drawn.withColumn("i", at.cast("int")).join(numbered, "i").groupBy("round").agg(F.avg(column).alias("m"))
+    resampled = drawn.withColumn("i", at.cast("int")).join(numbered, "i")
+    means = metric(resampled.drop("i", "n", "draw")) if metric else resampled.groupBy("round").agg(F.avg(column).alias("m"))
     all_of = F.array_sort(F.collect_list("m"))
     out = means.agg(all_of.alias("m"))
     return out.select(F.coalesce(F.get("m", F.lit(int(rounds * alpha / 2))), F.lit(0.0)).alias("low"), F.coalesce(F.get("m", F.lit(min(rounds - 1, int(rounds * (1 - alpha / 2))))), F.lit(0.0)).alias("high"))
@@ -91,17 +94,53 @@ def dataset_stats(qrels: DataFrame) -> DataFrame:
     return qrels.agg(F.count_distinct("qid").alias("n_queries"), F.count(F.lit(1)).alias("n_judgments")).withColumn("mean_judgments", F.col("n_judgments") / F.greatest("n_queries", F.lit(1)))
 
 
-def latency(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, mean, p50, p95, p99): the sample at place floor(n p) of the sorted ones, from 0, at most the last.
+def by_category(per_query_rows: DataFrame, categories: DataFrame, column: str = "ndcg") -> DataFrame:
+    """(category, n, mean, median) of each category of queries, worst mean first, and of all queries in the last row. categories: (qid, category); others count as 'uncategorised'."""
+    rows = per_query_rows.join(categories.select("qid", "category"), "qid", "left").select(F.coalesce("category", F.lit("uncategorised")).alias("category"), F.col(column).alias("v"))
+    # Queries are few: this is a report on one evaluation.
+    out = rows.withColumn("category", F.explode(F.array(F.col("category"), F.lit("all")))).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"))
+    return out.orderBy((F.col("category") == "all").cast("int"), "mean", "category")
+
 
-    Places are counted by a window of each key; where one key has a large share of rows, use approximate percentiles.
+def places(samples: DataFrame, key: str, value: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(key, n, mean, *wanted): for each name the sample at a place, from 0, of a key's sorted samples; a place is made of their number.
+
+    Exact, and no key is sorted whole: samples are counted by value, values by buckets that keep their order
+    (the logarithm to a thousandth), and only the buckets that hold a wanted place are sorted.
     """
-    w = Window.partitionBy(key)
-    placed = samples.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1), F.col("v")))
-    return placed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    v, total = F.col("__v"), F.col("n")
+    counts = samples.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.withColumn("__b", F.rint(F.signum(v) * F.log1p(F.abs(v)) * 1000))
+    buckets = counts.groupBy("__k", "__b").agg(F.sum("__n").alias("bn"), F.sum(v * F.col("__n")).alias("bs"))
+    every = Window.partitionBy("__k")
+    upto = F.sum("bn").over(every.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    buckets = buckets.withColumn("before", upto - F.col("bn")).withColumn("n", F.sum("bn").over(every)).withColumn("mean", F.sum("bs").over(every) / total)
+    goals = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), place(total).cast("long").alias("place")) for name, place in wanted.items())))
+    asked = buckets.withColumn("g", goals).where("g.place >= before and g.place < before + bn").select("__k", "__b", "before", "n", "mean", "g.name", "g.place")
+    inside = asked.alias("a").join(counts.alias("c"), F.col("a.__k").eqNullSafe(F.col("c.__k")) & (F.col("a.__b") == F.col("c.__b")))
+    run = F.sum("c.__n").over(Window.partitionBy("a.__k", "name").orderBy("c.__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hit = inside.select(F.col("a.__k").alias("k"), "name", "n", "mean", "c.__v", (F.col("before") + run > F.col("place")).alias("reached"))
+    return hit.where("reached").groupBy(F.col("k").alias(key)).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), *(F.min(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in wanted))
+
+
+def latency(samples: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, mean, p50, p95, p99): the sample at place floor(n p) of the sorted ones, from 0, at most the last. Keys without a sample are left out."""
+    at = lambda p: lambda n: F.least(F.floor(n * F.lit(p)), n - 1)
+    return places(samples, key, value, {"p50": at(0.5), "p95": at(0.95), "p99": at(0.99)})
 
 
 def median(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, median), the mean of the middle two for even counts."""
-    return samples.groupBy(key).agg(F.percentile(value, 0.5).alias("median"))
+    """(key, median), the mean of the middle two for even counts; null for keys without a sample."""
+    mid = places(samples, key, value, {"lo": lambda n: F.floor((n - 1) / 2), "hi": lambda n: F.floor(n / 2)}).select(F.col(key).alias("__key"), ((F.col("lo") + F.col("hi")) / 2).alias("median"))
+    return samples.select(key).distinct().join(mid, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, "median")
+
+
+def gates(means: DataFrame, floors: dict[str, float], slack: float = 0.0) -> DataFrame:
+    """(system, ndcg, floor, passed): whether each system's mean reaches its floor, less slack. Gains never fail a gate."""
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("system"), F.lit(float(f)).alias("floor")) for s, f in floors.items())))
+    return means.sparkSession.range(1).select(rows.alias("g")).select("g.system", "g.floor").join(means.select("system", "ndcg"), "system", "left").select("system", "ndcg", "floor", F.coalesce(F.col("ndcg") - F.col("floor") >= -slack, F.lit(False)).alias("passed"))
+
+
+def latency_gate(stats: DataFrame, limit: float = 20.0, column: str = "p99") -> DataFrame:
+    """stats with passed: whether the percentile stays below the limit (milliseconds)."""
+    return stats.withColumn("passed", F.col(column) < limit)

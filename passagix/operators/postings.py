@@ -17,6 +17,18 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
+def built(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Postings with each document's length, (term, doc_id, tf, dl): texts are split once, and no search needs a second join."""
+    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    return words.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "doc_id", "tf", "dl")
+
+
+def lengths_of(index: DataFrame, docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Lengths from built postings; documents that have none have length 0."""
+    known = index.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+    return docs.select(F.col(doc_id).alias("doc_id")).join(known, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"))
+
+
 def lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokens of each document, empty ones too."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(text)).cast("long").alias("dl"))
@@ -49,7 +61,30 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("term", "doc_id").agg(F.sum("tf").cast("int").alias("tf"))
 
 
+#: Ids of a block of a posting list: 2 ** BLOCK_BITS.
+BLOCK_BITS = 16
+
+
 def vbyte_sizes(index: DataFrame) -> DataFrame:
-    """Bytes that each term's document ids take as variable-byte gaps. One term's ids stand in order in one task: sorted, not gathered."""
-    gap = F.col("doc_id") - F.lag("doc_id", 1, 0).over(Window.partitionBy("term").orderBy("doc_id"))
-    return index.select("term", vbyte.size(gap).alias("b")).groupBy("term").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("b").alias("n_bytes"))
+    """Bytes that each term's document ids take as variable-byte gaps.
+
+    Gaps are taken in blocks of ids, each by itself; a block's first gap is from the last id of the block
+    before, for which one row a block is enough. So no task holds a whole list of a common term.
+    """
+    rows = index.select("term", "doc_id", F.shiftright("doc_id", BLOCK_BITS).alias("block"))
+    gap = F.col("doc_id") - F.lag("doc_id").over(Window.partitionBy("term", "block").orderBy("doc_id"))
+    blocks = rows.withColumn("b", vbyte.size(gap)).groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    first = F.col("lo") - F.lag("hi", 1, 0).over(Window.partitionBy("term").orderBy("block"))
+    return blocks.withColumn("b", F.col("b") + vbyte.size(first)).groupBy("term").agg(F.sum("n").alias("n_postings"), F.sum("b").alias("n_bytes"))
+
+
+def vbyte_blocks(index: DataFrame) -> DataFrame:
+    """(term, block, n, code): document ids as variable-byte gaps, a row for each block of ids, each from zero, so that blocks are read alone."""
+    rows = index.select("term", F.shiftright("doc_id", BLOCK_BITS).alias("block"), F.col("doc_id").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("low"))
+    return rows.groupBy("term", "block").agg(F.array_sort(F.collect_list("low")).alias("ids")).select("term", "block", F.size("ids").alias("n"), vbyte.encode_column("ids").alias("code"))
+
+
+def from_vbyte_blocks(blocks: DataFrame) -> DataFrame:
+    """(term, doc_id) from vbyte_blocks."""
+    rows = blocks.select("term", "block", F.explode(vbyte.decode_column("code")).alias("low"))
+    return rows.select("term", (F.shiftleft("block", BLOCK_BITS) + F.col("low")).alias("doc_id"))

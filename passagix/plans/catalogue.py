@@ -1,8 +1,11 @@
 """Named queries over the supplied tables and the SQL that each must equal.
 
-Queries of the lexical leg are the first eight tokens of the benchmark's items, or of the documents that
-share an id with every fiftieth vector; judgments are the two substitutes that are described below. Doubles
-are rounded to six places, as sums of another order differ in the last bits.
+Queries of the lexical leg are the benchmark's items, or the documents that share an id with every fiftieth
+vector, each with all of its tokens; judgments are the two substitutes that are described below. Doubles are
+rounded to six places, as sums of another order differ in the last bits.
+
+Searches read stored tables, which the first query over a folder builds: postings with lengths, vectors with
+their cells and codes, runs and judgments. Queries that are about building make their tables themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 
 from passagix.functions.text import STOPWORDS, chunk_tokens, tokens
 from passagix.operators import acl, bm25, chunking, fusion, metrics, postings, vectors
+from passagix.sources.store import keep_last, remembered, spread
+from passagix.sources.tables import combined
 
 ALPHAS = [i / 10 for i in range(11)]
 ROLES = list(acl.SHARES)
@@ -29,14 +34,24 @@ def _docs(spark, sf):
     return _t(spark, sf, "documents")
 
 
+def _texts(spark, sf):
+    """The documents, for work on their texts."""
+    return spread(_docs(spark, sf))
+
+
+def _stored(spark, sf, name, tables, build, partition=None):
+    return remembered(name, [f"{sf}/{t}.parquet" for t in tables], spark, lambda: build(spark, sf), partition)
+
+
 def _index(spark, sf):
-    d = _docs(spark, sf)
-    lens = postings.lengths(d)
-    return postings.postings(d), lens, postings.corpus_stats(lens)
+    """Postings that have lengths, no table of lengths, statistics."""
+    index = _stored(spark, sf, "postings", ["documents"], lambda spark, sf: postings.built(_texts(spark, sf)).repartition("term").sortWithinPartitions("term", "doc_id"))
+    stats = _stored(spark, sf, "stats", ["documents"], lambda spark, sf: postings.corpus_stats(postings.lengths_of(index, _docs(spark, sf))))
+    return index, None, stats
 
 
 def _item_terms(spark, sf):
-    return bm25.query_terms(_t(spark, sf, "benchmark"), "item_id", "text", 8)
+    return bm25.query_terms(_t(spark, sf, "benchmark"), "item_id", "text")
 
 
 def _r(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -46,35 +61,35 @@ def _r(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 
 def tokenize(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.size(tokens("text")).alias("n_tokens"), F.array_join(tokens("text"), " ").alias("tokens"))
+    return _texts(spark, sf).select("doc_id", F.size(tokens("text")).alias("n_tokens"), F.array_join(tokens("text"), " ").alias("tokens"))
 
 
 def chunk_tokenize(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.size(chunk_tokens("text")).alias("n_tokens"), F.array_join(chunk_tokens("text"), " ").alias("tokens"))
+    return _texts(spark, sf).select("doc_id", F.size(chunk_tokens("text")).alias("n_tokens"), F.array_join(chunk_tokens("text"), " ").alias("tokens"))
 
 
 def chunk_passage(spark, sf):
-    return chunking.chunk_passages(_docs(spark, sf))
+    return chunking.chunk_passages(_texts(spark, sf))
 
 
 def chunk_corpus(spark, sf):
-    return chunking.chunk_map(chunking.chunk_passages(_docs(spark, sf)))
+    return chunking.chunk_map(chunking.chunk_passages(_texts(spark, sf)))
 
 
 def build_postings(spark, sf):
-    return postings.postings(_docs(spark, sf))
+    return postings.postings(_texts(spark, sf))
 
 
 def posting_list(spark, sf):
-    return postings.posting_list(postings.postings(_docs(spark, sf)), TERM)
+    return postings.posting_list(postings.postings(_texts(spark, sf)), TERM)
 
 
 def vocab(spark, sf):
-    return postings.vocabulary(postings.postings(_docs(spark, sf)))
+    return postings.vocabulary(postings.postings(_texts(spark, sf)))
 
 
 def corpus_stats(spark, sf):
-    return _r(postings.corpus_stats(postings.lengths(_docs(spark, sf))), "avgdl")
+    return _r(postings.corpus_stats(postings.lengths(_texts(spark, sf))), "avgdl")
 
 
 def doc_freq_idf(spark, sf):
@@ -83,12 +98,22 @@ def doc_freq_idf(spark, sf):
 
 
 def merge_index(spark, sf):
-    d = _docs(spark, sf)
+    d = _texts(spark, sf)
     return postings.merged([postings.postings(d.where(F.col("doc_id") % 4 == i)) for i in range(4)])
 
 
 def vbyte_posting_size(spark, sf):
-    return postings.vbyte_sizes(postings.postings(_docs(spark, sf)))
+    return postings.vbyte_sizes(_index(spark, sf)[0])
+
+
+def vbyte_encode(spark, sf):
+    """Posting lists as variable-byte gaps, in blocks of ids."""
+    return postings.vbyte_blocks(_index(spark, sf)[0]).select("term", "block", "n", F.hex("code").alias("code"))
+
+
+def vbyte_decode(spark, sf):
+    """Posting lists coded and read back."""
+    return postings.from_vbyte_blocks(postings.vbyte_blocks(_index(spark, sf)[0]))
 
 
 def bm25_score(spark, sf):
@@ -98,9 +123,8 @@ def bm25_score(spark, sf):
 
 
 def bm25_score_batch(spark, sf):
-    """A third of the documents as candidates."""
-    d = _docs(spark, sf)
-    return _r(bm25.score_batch(*_index(spark, sf), _item_terms(spark, sf), d.where("doc_id % 3 = 0").select("doc_id")), "score")
+    """Every document that shares a token with an item."""
+    return _r(bm25.score_batch(*_index(spark, sf), _item_terms(spark, sf)), "score")
 
 
 def bm25_topk(spark, sf):
@@ -118,46 +142,64 @@ def _found(df: DataFrame) -> DataFrame:
 
 def exact_knn(spark, sf):
     v, q = _vectors(spark, sf)
-    return _found(vectors.exact_knn(q, v, 100))
+    return _found(vectors.exact_knn(q, spread(v), 100))
 
 
-def _ivf(spark, sf):
+def _ivf(spark, sf, m=8):
+    """Vectors, queries, cells, assigned vectors, codebook and codes; all but vectors and queries are stored."""
     v, q = _vectors(spark, sf)
-    model = vectors.fixed_centroids(v)
-    assigned = vectors.assign(v, model)
-    return v, q, model, assigned, vectors.fixed_codebook(assigned)
+    model = _stored(spark, sf, "centroids", ["embeddings"], lambda spark, sf: vectors.fixed_centroids(v))
+    assigned = _stored(spark, sf, "assigned", ["embeddings"], lambda spark, sf: vectors.assign(spread(v), model), ["cell"])
+    book = _stored(spark, sf, f"codebook{m}", ["embeddings"], lambda spark, sf: vectors.fixed_codebook(assigned, m=m))
+    codes = _stored(spark, sf, f"codes{m}", ["embeddings"], lambda spark, sf: vectors.encode(assigned, book), ["cell"])
+    return v, q, model, assigned, book, codes
 
 
 def ivf_assign(spark, sf):
-    _, _, _, assigned, _ = _ivf(spark, sf)
-    return assigned.select("vec_id", "cell")
+    v, _ = _vectors(spark, sf)
+    return vectors.assign(spread(v), vectors.fixed_centroids(v)).select("vec_id", "cell")
 
 
 def ivf_train(spark, sf):
-    """Trained centroids: rows only, as k-means has no SQL."""
-    v, _ = _vectors(spark, sf)
-    model = vectors.train_centroids(v, 16)
-    return vectors.assign(v, model).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    """Trained centroids and codebooks: every vector has a cell and all codes, no vector is nearer to another centroid, and both sum of squares and coding error are below those of the fixed ones."""
+    v, _, fixed, assigned, book, _ = _ivf(spark, sf)
+    n = v.count()
+    model = vectors.train_centroids(v, min(16, n))
+    near = vectors.assign(v, model)
+    least = lambda rows: rows.agg(F.sum(vectors.l2("residual", F.transform("residual", lambda x: F.lit(0.0))))).first()[0]
+    trained = vectors.train_codebook(near, 8, min(16, n))
+    check = near.crossJoin(F.broadcast(model)).select((F.array_min(F.transform("centroids", lambda c: vectors.l2("v", c))) >= vectors.l2("v", F.get("centroids", F.col("cell"))) - 1e-9).alias("ok"))
+    coded = vectors.encode(near, trained)
+    better = least(near) <= least(assigned) and vectors.coding_error(near, coded, trained) <= vectors.coding_error(near, vectors.encode(near, book), book)
+    return check.agg(F.count(F.lit(1)).alias("n_vectors"), F.every("ok").alias("nearest")).withColumn("n_coded", F.lit(coded.where("size(codes) = 8").count())).withColumn("better", F.lit(bool(better)))
 
 
 def pq_encode(spark, sf):
-    _, _, _, assigned, book = _ivf(spark, sf)
+    _, _, _, assigned, book, _ = _ivf(spark, sf)
     return vectors.encode(assigned, book).select("vec_id", F.posexplode("codes").alias("sub", "code"))
 
 
 def ivf_pq_search(spark, sf):
-    _, q, model, assigned, book = _ivf(spark, sf)
-    return _found(vectors.ivf_pq(q, vectors.encode(assigned, book), model, book))
+    _, q, model, _, book, codes = _ivf(spark, sf)
+    return _found(vectors.ivf_pq(q, codes, model, book))
+
+
+def ivf_pq_m32_search(spark, sf):
+    """The same with codes of thirty-two sub-spaces."""
+    _, q, model, _, book, codes = _ivf(spark, sf, 32)
+    return _found(vectors.ivf_pq(q, codes, model, book))
 
 
 def ivf_flat_search(spark, sf):
-    _, q, model, assigned, _ = _ivf(spark, sf)
+    _, q, model, assigned, _, _ = _ivf(spark, sf)
     return _found(vectors.ivf_flat(q, assigned, model))
 
 
 def ivf_sq8_search(spark, sf):
-    v, q, model, assigned, _ = _ivf(spark, sf)
-    return _found(vectors.ivf_sq8(q, assigned, model, vectors.sq8_ranges(v)))
+    v, q, model, assigned, _, _ = _ivf(spark, sf)
+    ranges = _stored(spark, sf, "ranges", ["embeddings"], lambda spark, sf: vectors.sq8_ranges(v))
+    coded = _stored(spark, sf, "sq8", ["embeddings"], lambda spark, sf: vectors.sq8(assigned, ranges).select("vec_id", "decoded", "cell"), ["cell"])
+    return _found(vectors.ivf_decoded(q, coded, model))
 
 
 def _label_qrels(spark, sf):
@@ -168,19 +210,21 @@ def _label_qrels(spark, sf):
 
 
 def nprobe_sweep(spark, sf):
-    _, q, model, assigned, book = _ivf(spark, sf)
-    return _r(vectors.nprobe_sweep(q, vectors.encode(assigned, book), model, book, _label_qrels(spark, sf), NPROBES), "recall")
+    _, q, model, _, book, codes = _ivf(spark, sf)
+    return _r(vectors.nprobe_sweep(q, codes, model, book, _label_qrels(spark, sf), NPROBES), "recall")
 
 
-def _legs(spark, sf):
-    """BM25 and exact vector search of the same queries, top 100, the query's own document aside."""
+def _make_legs(spark, sf):
     index, lens, stats = _index(spark, sf)
     own = _docs(spark, sf).join(_t(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    terms = bm25.query_terms(own, "doc_id", "text", 8)
+    terms = bm25.query_terms(spread(own), "doc_id", "text")
     lexical = bm25.top_k(bm25.score_batch(index, lens, stats, terms).where("qid != doc_id"), 100)
-    v, q = _vectors(spark, sf)
-    dense = vectors.exact_knn(q, v, 100, skip_self=True).drop("distance")
-    return fusion.legs(lexical, dense)
+    return fusion.legs(lexical, _dense_run(spark, sf).drop("distance"))
+
+
+def _legs(spark, sf):
+    """BM25 and exact vector search of the same queries, top 100, the query's own document aside."""
+    return _stored(spark, sf, "legs", ["documents", "embeddings"], _make_legs)
 
 
 def rrf_fuse(spark, sf):
@@ -227,29 +271,42 @@ def acl_accessible_set(spark, sf):
 
 
 def _bm25_run(spark, sf, k):
-    return bm25.retrieve(*_index(spark, sf), _item_terms(spark, sf), k)
+    """The first k of the items' stored run of a hundred."""
+    run = _stored(spark, sf, "run", ["documents", "benchmark"], lambda spark, sf: bm25.retrieve(*_index(spark, sf), _item_terms(spark, sf), 100))
+    return run.where(F.col("rank") <= k)
 
 
 def acl_filter(spark, sf):
     return _r(acl.filter_ranked(_bm25_run(spark, sf, 100), _acl(spark, sf), "sales", 10), "score")
 
 
-def _text_qrels(spark, sf):
-    """Judgments of the benchmark's items: grade 3 for documents that hold their first forty characters.
+def _make_text_qrels(spark, sf):
+    plain = lambda t: F.concat(F.lit(" "), F.trim(F.regexp_replace(t, "[\\x20\\x09-\\x0D]+", " ")), F.lit(" "))
+    items = _t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), plain("text").alias("part")).where("length(part) > 2")
+    # Documents meet an item at its longest word alone.
+    words = F.array_sort(F.split(F.trim("part"), " "), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    items = items.select("qid", "part", F.get(words, F.lit(0)).alias("word"))
+    texts = _texts(spark, sf).where("text is not null").select("doc_id", plain("text").alias("text"))
+    met = texts.select("doc_id", F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("word")).join(items.select("qid", "word"), "word").select("doc_id", "qid")
+    return texts.join(met, "doc_id").join(items, "qid").where(F.contains("text", "part")).select("qid", "doc_id", F.lit(3).alias("grade"))
+
 
-    The items are few and each is held against every text once; Spark broadcasts them if they are small.
-    """
-    items = _t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 40).alias("part"))
-    return _docs(spark, sf).join(items, F.contains("text", "part")).select("qid", "doc_id", F.lit(3).alias("grade"))
+def _text_qrels(spark, sf):
+    """Judgments of the benchmark's items: grade 3 for documents that hold all of an item's words in a row, white space aside."""
+    return _stored(spark, sf, "text_qrels", ["documents", "benchmark"], _make_text_qrels)
 
 
 def acl_recall_drop(spark, sf):
     return acl.recall_drop(_bm25_run(spark, sf, 20), _acl(spark, sf), _text_qrels(spark, sf), ROLES, 10)
 
 
-def _dense_run(spark, sf):
+def _make_dense_run(spark, sf):
     v, q = _vectors(spark, sf)
-    return vectors.exact_knn(q, v, 100, skip_self=True)
+    return vectors.exact_knn(q, spread(v), 100, skip_self=True)
+
+
+def _dense_run(spark, sf):
+    return _stored(spark, sf, "dense_run", ["embeddings"], _make_dense_run)
 
 
 def dcg(spark, sf):
@@ -296,6 +353,38 @@ def median_latency(spark, sf):
     return _r(metrics.median(_t(spark, sf, "events"), "event_type", "value"), "median")
 
 
+def latency_gates(spark, sf):
+    """Whether each type's 99th percentile is below a limit."""
+    stats = metrics.latency(_t(spark, sf, "events"), "event_type", "value")
+    return _r(metrics.latency_gate(stats, 20.0).select("event_type", "p99", "passed"), "p99")
+
+
+def quality_gates(spark, sf):
+    """Each leg's mean nDCG against a floor that it may miss by two hundredths."""
+    q = _label_qrels(spark, sf)
+    runs = _legs(spark, sf).select(F.when(F.col("leg") == 0, "bm25").otherwise("dense").alias("system"), "qid", "doc_id", "rank")
+    means = metrics.ndcg_by_query(runs, q, 10, ["system"]).groupBy("system").agg(F.avg("ndcg").alias("ndcg"))
+    return _r(metrics.gates(means, {"bm25": 0.4, "dense": 0.42, "none": 0.1}, 0.02), "ndcg")
+
+
+def combined_qrels(spark, sf):
+    """Judgments of both kinds; where a query and a document have one of each, that of the texts counts."""
+    return combined(_label_qrels(spark, sf), _text_qrels(spark, sf), ["qid", "doc_id"])
+
+
+def qrels_hash(spark, sf):
+    from passagix.plans.evaluation import qrels_hash as of
+
+    return spark.range(1).select(F.lit(of(_label_qrels(spark, sf))).alias("sha256"))
+
+
+def failure_taxonomy(spark, sf):
+    """nDCG of the vector run by the query's label."""
+    scores = metrics.ndcg_by_query(_dense_run(spark, sf), _label_qrels(spark, sf))
+    labels = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.concat(F.lit("label "), F.col("label")).alias("category"))
+    return _r(metrics.by_category(scores, labels), "mean", "median")
+
+
 def ablation_gates(spark, sf):
     """Mean nDCG at 10 of each leg and their fusion, and whether the fusion is better than the vectors alone."""
     legs, q = _legs(spark, sf), _label_qrels(spark, sf)
@@ -316,16 +405,14 @@ def limited_scan(spark, sf):
 
 def passage_lookup(spark, sf):
     """Texts by chunk id; what is missing is left out."""
-    chunks = chunking.chunk_passages(_docs(spark, sf)).select("chunk_id", "passage_id", "text")
+    chunks = chunking.chunk_passages(_texts(spark, sf)).select("chunk_id", "passage_id", "text")
     wanted = _t(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit("_0")).alias("chunk_id"))
     return chunks.join(wanted, "chunk_id")
 
 
 def build_passage_store(spark, sf):
     """Chunks written twice under one key: the last of two versions stays."""
-    from passagix.sources.store import keep_last
-
-    chunks = chunking.chunk_passages(_docs(spark, sf)).select("chunk_id", "passage_id", "text")
+    chunks = chunking.chunk_passages(_texts(spark, sf)).select("chunk_id", "passage_id", "text")
     again = chunks.where("passage_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" (2)")))
     both = chunks.withColumn("version", F.lit(0)).unionByName(again.withColumn("version", F.lit(1)))
     return keep_last(both, ["chunk_id"], "version").select("chunk_id", "passage_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
@@ -335,9 +422,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize, chunk_tokenize, chunk_passage, chunk_corpus, build_postings, posting_list, vocab, corpus_stats, doc_freq_idf, merge_index, vbyte_posting_size,
-        bm25_score, bm25_score_batch, bm25_topk, exact_knn, ivf_assign, ivf_train, pq_encode, ivf_pq_search, ivf_flat_search, ivf_sq8_search, nprobe_sweep,
+        vbyte_encode, vbyte_decode, bm25_score, bm25_score_batch, bm25_topk, exact_knn, ivf_assign, ivf_train, pq_encode, ivf_pq_search, ivf_pq_m32_search, ivf_flat_search, ivf_sq8_search, nprobe_sweep,
         rrf_fuse, rrf_fuse_scored, minmax_normalise, alpha_fuse, alpha_sweep, best_alpha, acl_generate, acl_can_access, acl_accessible_set, acl_filter, acl_recall_drop,
-        dcg, idcg, single_query_ndcg, ndcg_at_k, mrr_at_k, recall_at_k, per_query_metrics, bootstrap_ci, dataset_stats, latency_stats, median_latency, ablation_gates,
+        dcg, idcg, single_query_ndcg, ndcg_at_k, mrr_at_k, recall_at_k, per_query_metrics, bootstrap_ci, dataset_stats, latency_stats, median_latency, ablation_gates, latency_gates, quality_gates, combined_qrels, qrels_hash, failure_taxonomy,
         export_corpus, limited_scan, passage_lookup, build_passage_store,
     )
 }
@@ -360,10 +447,11 @@ _POST = f"{_TOK}, occ AS (SELECT doc_id, unnest(t) AS term FROM tok), post AS (S
 _STATS = "st AS (SELECT count(*) AS n_docs, coalesce(sum(len(t)), 0)::bigint AS total_tokens, coalesce(avg(len(t)), 0) AS avgdl FROM tok)"
 _DF = "df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"
 _W = f"{_POST}, {_STATS}, {_DF}, w AS (SELECT p.term, p.doc_id, ln((n_docs - df + 0.5::double) / (df + 0.5::double) + 1) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len(t) / avgdl)) AS w FROM post p JOIN df USING (term) JOIN tok USING (doc_id), st)"
-_QT = f"qt AS (SELECT item_id AS qid, unnest({_tokens('text')}[1:8]) AS term FROM benchmark)"
+_QT = f"qt AS (SELECT item_id AS qid, unnest({_tokens('text')}) AS term FROM benchmark)"
 _SC = f"{_W}, {_QT}, sc AS (SELECT qid, doc_id, sum(w) AS score FROM qt JOIN w USING (term) GROUP BY qid, doc_id)"
 _RUN = f"{_SC}, run AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc)"
-_TQ = "qrels AS (SELECT item_id AS qid, doc_id, 3 AS grade FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 40)))"
+_PLAIN = "' ' || trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g')) || ' '"
+_TQ = f"qrels AS (SELECT qid, doc_id, 3 AS grade FROM (SELECT doc_id, {_PLAIN} AS text FROM documents) d JOIN (SELECT item_id AS qid, {_PLAIN} AS part FROM benchmark) b ON length(part) > 2 AND contains(d.text, b.part))"
 _LQ = "qrels AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, (e.vec_id % 3 + 1)::int AS grade FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id % 50 = 0 AND q.vec_id != e.vec_id)"
 _COMP = "comp AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::double AS x FROM embeddings)"
 _L2 = f"{_COMP}, l2 AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, sum((q.x - v.x) * (q.x - v.x)) AS d FROM comp q JOIN comp v USING (i) WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, v.vec_id)"
@@ -385,7 +473,7 @@ adc AS (SELECT t.qid, k.vec_id AS doc_id, t.turn, sum(t.d) AS d FROM tab t JOIN
 
 _KNN_OUT = "SELECT qid, doc_id, round(d, 6) AS distance, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), doc_id) AS rank FROM {0}) WHERE rank <= {1}"
 _LEGS = f"""{_W},
-own AS (SELECT t.doc_id AS qid, unnest(t.t[1:8]) AS term FROM tok t JOIN embeddings e ON e.vec_id = t.doc_id AND e.vec_id % 50 = 0),
+own AS (SELECT t.doc_id AS qid, unnest(t.t) AS term FROM tok t JOIN embeddings e ON e.vec_id = t.doc_id AND e.vec_id % 50 = 0),
 lex AS (SELECT qid, doc_id, sum(w) AS score FROM own JOIN w USING (term) WHERE qid != doc_id GROUP BY qid, doc_id),
 {_DENSE},
 legs AS (SELECT * FROM (SELECT qid, 0 AS leg, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex) WHERE rank <= 100
@@ -425,14 +513,19 @@ ORACLE_SQL: dict[str, str] = {
     "corpus_stats": f"WITH {_TOK}, {_STATS} SELECT n_docs, total_tokens, round(avgdl, 6) AS avgdl FROM st",
     "doc_freq_idf": f"WITH {_POST}, {_STATS}, {_DF} SELECT term, df, round(ln((n_docs - df + 0.5::double) / (df + 0.5::double) + 1), 6) AS idf FROM df, st",
     "merge_index": f"WITH {_POST} SELECT * FROM post",
-    "vbyte_posting_size": f"WITH {_POST}, gap AS (SELECT term, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS g FROM post) SELECT term, count(*) AS n_postings, sum(1 + (g >= 128)::int + (g >= 16384)::int + (g >= 2097152)::int + (g >= 268435456)::int)::bigint AS n_bytes FROM gap GROUP BY term",
+    "vbyte_posting_size": f"WITH {_POST}, gap AS (SELECT term, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS g FROM post) SELECT term, count(*) AS n_postings, sum(1 + (g >= 128)::int + (g >= 16384)::int + (g >= 2097152)::int + (g >= 268435456)::int + (g >= 34359738368)::int + (g >= 4398046511104)::int + (g >= 562949953421312)::int + (g >= 72057594037927936)::int)::bigint AS n_bytes FROM gap GROUP BY term",
+    "vbyte_encode": f"""WITH {_POST}, gap AS (SELECT term, doc_id // 65536 AS block, doc_id, (doc_id % 65536) - lag(doc_id % 65536, 1, 0) OVER (PARTITION BY term, doc_id // 65536 ORDER BY doc_id) AS g FROM post)
+SELECT term, block, count(*)::int AS n, string_agg(CASE WHEN g < 128 THEN printf('%02X', g) WHEN g < 16384 THEN printf('%02X%02X', g % 128 + 128, g // 128) ELSE printf('%02X%02X%02X', g % 128 + 128, g // 128 % 128 + 128, g // 16384) END, '' ORDER BY doc_id) AS code FROM gap GROUP BY term, block""",
+    "vbyte_decode": f"WITH {_POST} SELECT term, doc_id FROM post",
+    "ivf_train": "SELECT count(*) AS n_vectors, true AS nearest, count(*) AS n_coded, true AS better FROM embeddings",
     "bm25_score": f"WITH {_SC} SELECT qid, doc_id, round(score, 6) AS score FROM sc WHERE doc_id = 1",
-    "bm25_score_batch": f"WITH {_SC} SELECT qid, doc_id, round(score, 6) AS score FROM sc WHERE doc_id % 3 = 0",
+    "bm25_score_batch": f"WITH {_SC} SELECT qid, doc_id, round(score, 6) AS score FROM sc",
     "bm25_topk": f"WITH {_RUN} SELECT qid, doc_id, round(score, 6) AS score, rank::int AS rank FROM run WHERE rank <= 10",
     "exact_knn": f"WITH {_L2} {_KNN_OUT.format('l2', 100)}",
     "ivf_assign": f"WITH {_CELL} SELECT vec_id, cell::int AS cell FROM asg",
     "pq_encode": f"WITH {_PQ} SELECT vec_id, sub::int AS sub, code::int AS code FROM codes",
     "ivf_pq_search": f"WITH {_adc(4)} {_KNN_OUT.format('adc', 10)}",
+    "ivf_pq_m32_search": f"WITH {_adc(4)} {_KNN_OUT.format('adc', 10)}".replace("// 8", "// 2"),
     "ivf_flat_search": f"WITH {_CELL}, l2 AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, sum((q.x - v.x) * (q.x - v.x)) AS d FROM comp q JOIN comp v USING (i) WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, v.vec_id), f AS (SELECT l2.* FROM l2 JOIN asg ON asg.vec_id = doc_id JOIN near n ON n.vec_id = qid AND n.cell = asg.cell AND n.turn <= 4) {_KNN_OUT.format('f', 10)}",
     "ivf_sq8_search": f"WITH {_CELL}, rg AS (SELECT i, min(x) AS lo, max(x) AS hi FROM comp GROUP BY i), dec AS (SELECT vec_id, i, lo + coalesce(floor((x - lo) * 255 / nullif(hi - lo, 0) + 0.5::double), 0) * (hi - lo) / 255 AS y FROM comp JOIN rg USING (i)), l2 AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, sum((q.x - v.y) * (q.x - v.y)) AS d FROM comp q JOIN dec v USING (i) WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, v.vec_id), f AS (SELECT l2.* FROM l2 JOIN asg ON asg.vec_id = doc_id JOIN near n ON n.vec_id = qid AND n.cell = asg.cell AND n.turn <= 4) {_KNN_OUT.format('f', 10)}",
     "nprobe_sweep": f"WITH {_adc(16)}, {_LQ}, {_RECALL}, np AS (SELECT unnest([1, 4, 8, 16]) AS nprobe), swept AS (SELECT nprobe, qid, doc_id, row_number() OVER (PARTITION BY nprobe, qid ORDER BY round(d, 9), doc_id) AS rank FROM adc JOIN np ON turn <= nprobe), hit AS (SELECT nprobe, s.qid, count(*) AS hits FROM swept s JOIN rel USING (qid, doc_id) WHERE rank <= 100 GROUP BY nprobe, s.qid) SELECT nprobe::int AS nprobe, round(avg(coalesce(hits, 0) / wanted), 6) AS recall FROM (SELECT * FROM wanted, np) e LEFT JOIN hit USING (qid, nprobe) GROUP BY nprobe",
@@ -472,6 +565,15 @@ got AS (SELECT system, s.qid, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank +
 m AS (SELECT system, avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END) AS ndcg FROM got JOIN ideal USING (qid) GROUP BY system),
 x AS (SELECT round(max(ndcg) FILTER (system = 'bm25'), 6) AS bm25, round(max(ndcg) FILTER (system = 'dense'), 6) AS dense, round(max(ndcg) FILTER (system = 'rrf'), 6) AS rrf FROM m)
 SELECT *, rrf > dense AS rrf_beats_dense FROM x""",
+    "latency_gates": "SELECT event_type, round(p, 6) AS p99, p < 20 AS passed FROM (SELECT event_type, list_sort(list(value))[least(floor(count(*) * 0.99::double)::int, count(*) - 1) + 1] AS p FROM events WHERE value IS NOT NULL GROUP BY event_type)",
+    "quality_gates": f"""WITH {_LEGS}, {_LQ}, sys AS (SELECT CASE WHEN leg = 0 THEN 'bm25' ELSE 'dense' END AS system, qid, doc_id, rank FROM legs),
+ideal AS (SELECT qid, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS r FROM qrels) WHERE r <= 10 GROUP BY qid),
+got AS (SELECT system, s.qid, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg FROM sys s LEFT JOIN qrels q ON q.qid = s.qid AND q.doc_id = s.doc_id WHERE rank <= 10 GROUP BY system, s.qid),
+m AS (SELECT system, avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END) AS ndcg FROM got JOIN ideal USING (qid) GROUP BY system)
+SELECT system, round(ndcg, 6) AS ndcg, floor, coalesce(ndcg - floor >= -0.02, false) AS passed FROM (VALUES ('bm25', 0.4::double), ('dense', 0.42), ('none', 0.1)) g(system, floor) LEFT JOIN m USING (system)""",
+    "combined_qrels": f"WITH {_TQ.replace('qrels AS', 'tq AS')}, {_LQ.replace('qrels AS', 'lq AS')} SELECT * FROM lq WHERE NOT EXISTS (SELECT 1 FROM tq WHERE tq.qid = lq.qid AND tq.doc_id = lq.doc_id) UNION ALL SELECT * FROM tq",
+    "qrels_hash": f"WITH {_LQ}, h AS (SELECT qid, sha256(string_agg(x, chr(10) ORDER BY x)) AS h FROM (SELECT qid, doc_id || ' ' || grade AS x FROM qrels) GROUP BY qid) SELECT sha256(string_agg(x, chr(10) ORDER BY x)) AS sha256 FROM (SELECT qid || ' ' || h AS x FROM h)",
+    "failure_taxonomy": f"WITH {_DENSE}, {_LQ}, {_ndcg('dense')}, c AS (SELECT 'label ' || label AS category, ndcg FROM ndcg JOIN embeddings ON vec_id = qid UNION ALL SELECT 'all', ndcg FROM ndcg) SELECT category, count(*) AS n, round(avg(ndcg), 6) AS mean, round(median(ndcg), 6) AS median FROM c GROUP BY category",
     "export_corpus": "SELECT doc_id::varchar AS pid, text FROM documents",
     "limited_scan": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100",
     "passage_lookup": f"WITH {_CHUNKS} SELECT chunk_id, passage_id, text FROM chunks JOIN (SELECT vec_id || '_0' AS chunk_id FROM embeddings) USING (chunk_id)",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagix.operators import acl, bm25, fusion, vectors
+from passagix.plans.tracing import Tracer
+from passagix.sources import store
 
 MODES = ("bm25", "dense", "hybrid", "alpha")
 
@@ -38,7 +39,20 @@ class Search:
     access: DataFrame | None = None
     encoder: Callable[[list[str]], np.ndarray] | None = None
     weight: float = 0.4
-    stages: list[tuple[str, str, float]] = field(default_factory=list)
+    tracer: Tracer = field(default_factory=Tracer)
+    missing: dict[str, str] = field(default_factory=dict)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, encoder: Callable[[list[str]], np.ndarray] | None = None, check: bool = True) -> Search:
+        """What stands in a folder (see build): tables that are missing or damaged leave their modes out, with the reason in `missing`."""
+        names = ("postings", "lengths", "stats", "codes", "model", "codebook", "access")
+        tables, missing = {}, {}
+        for name in names:
+            try:
+                tables[name] = store.load(spark, f"{folder}/{name}", check)
+            except Exception as e:  # noqa: BLE001  a service starts with what it has
+                missing[name] = str(e).splitlines()[0]
+        return cls(spark, **tables, encoder=encoder, missing=missing)
 
     def ready(self) -> dict[str, bool]:
         lexical = None not in (self.postings, self.lengths, self.stats)
@@ -74,21 +88,41 @@ class Search:
         return acl.filter_ranked(found, access, role, top_k)
 
     def search(self, query: str, mode: str = "hybrid", top_k: int = 10, role: str | None = None, nprobe: int = 16, embedding: list[float] | None = None) -> list[dict]:
-        """One request. Its stages' milliseconds are kept in stages as (stage, query, ms)."""
+        """One request, stage by stage, each a span: dense_encode, bm25_retrieval, vector_search, fusion, acl_filter and full_query. What a stage finds, four times top_k at most, is at the driver between them."""
         check(query, mode, top_k, nprobe)
-        began = time.perf_counter()
-        if embedding is None and mode != "bm25":
-            if self.encoder is None:
-                raise RuntimeError("a query vector or an encoder is needed")
-            embedding = [float(x) for x in np.asarray(self.encoder([query]))[0]]
-        self.stages.append(("encode", query[:200], (time.perf_counter() - began) * 1000))
-        asked = self.spark.createDataFrame([(0, query, embedding)], "qid long, text string, embedding array<double>")
-        rows = self.run(asked, mode, top_k, role, nprobe).orderBy("rank").collect()
-        self.stages.append(("full_query", query[:200], (time.perf_counter() - began) * 1000))
+        if not self.ready()[mode]:
+            raise RuntimeError(f"tables for {mode} are missing")
+        wide = 2 * top_k if mode in ("bm25", "dense") else 4 * top_k
+        found: list[DataFrame] = []
+        with self.tracer.span("full_query", query, top_k=top_k, mode=mode):
+            if embedding is None and mode != "bm25":
+                if self.encoder is None:
+                    raise RuntimeError("a query vector or an encoder is needed")
+                with self.tracer.span("dense_encode", query):
+                    embedding = [float(x) for x in np.asarray(self.encoder([query]))[0]]
+            asked = self.spark.createDataFrame([(0, query, embedding)], "qid long, text string, embedding array<double>")
+            if mode != "dense":
+                found.append(self._stage("bm25_retrieval", query, self._lexical(asked, wide)))
+            if mode != "bm25":
+                found.append(self._stage("vector_search", query, self._dense(asked, wide, nprobe).drop("distance")))
+            ranked = found[0]
+            if len(found) > 1:
+                legs = fusion.legs(*found)
+                ranked = self._stage("fusion", query, fusion.rrf(legs, top=2 * top_k) if mode == "hybrid" else fusion.alpha(fusion.minmax(legs), self.weight, 2 * top_k))
+            if role is not None:
+                access = self.access if self.access is not None else self.spark.createDataFrame([], "doc_id long, roles array<string>")
+                ranked = self._stage("acl_filter", query, acl.filter_ranked(ranked, access, role, top_k))
+            rows = ranked.where(F.col("rank") <= top_k).orderBy("rank").collect()
         return [{"doc_id": r["doc_id"], "score": r["score"], "rank": r["rank"]} for r in rows]
 
+    def _stage(self, name: str, query: str, rows: DataFrame) -> DataFrame:
+        with self.tracer.span(name, query) as s:
+            got = rows.select("qid", "doc_id", "score", "rank").collect()
+            s.attributes["results"] = len(got)
+        return self.spark.createDataFrame(got, "qid long, doc_id long, score double, rank int")
+
     def latencies(self) -> DataFrame:
         """Percentiles by stage of what has run."""
         from passagix.operators.metrics import latency
 
-        return latency(self.spark.createDataFrame(self.stages, "stage string, query string, ms double"), "stage", "ms")
+        return latency(self.tracer.table(self.spark), "stage", "ms")

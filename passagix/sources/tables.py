@@ -12,9 +12,11 @@ ACL = "pid string, roles array<string>"
 def read_corpus(spark: SparkSession, path: str, limit: int | None = None, partition_bytes: int | None = None) -> DataFrame:
     """(doc_id, text) from JSON lines {pid, text}; pid may be a number or a text. limit: the rows of the smallest ids.
 
-    Files are split by bytes among tasks; partition_bytes sets the size of a split for this session.
+    Files are split by bytes among tasks; partition_bytes sets the size of a split for this table alone, as it is
+    read by a session of its own with the same catalog and context.
     """
     if partition_bytes:
+        spark = spark.newSession()
         spark.conf.set("spark.sql.files.maxPartitionBytes", partition_bytes)
     rows = spark.read.schema(PASSAGE).json(path).select(F.col("pid").cast("long").alias("doc_id"), "text")
     return rows.orderBy("doc_id").limit(limit) if limit else rows
@@ -58,7 +60,16 @@ def lookup(store: DataFrame, keys: DataFrame, key: str, keep_missing: bool = Fal
     return keys.select(key).join(store, key, "left" if keep_missing else "inner")
 
 
-def prometheus(log: DataFrame) -> str:
-    """The four series of a query log (ok boolean, ms double) as metric lines. The mean is over successes."""
+def query_pool(spark: SparkSession, path: str | None, fallback: list[str]) -> list[str]:
+    """Query texts from a file of queries, or the fallback if there is none."""
+    if path:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return [r["text"] for r in read_queries(spark, path).orderBy("qid").collect()] or fallback
+    return fallback
+
+
+def prometheus(log: DataFrame, ready: bool = True) -> str:
+    """The four series of a query log (ok boolean, ms double) as metric lines. The mean is over successes; ready is what Search.ready says."""
     x = log.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((~F.col("ok")).cast("long")), F.lit(0)).alias("bad"), F.coalesce(F.avg(F.when(F.col("ok"), F.col("ms"))), F.lit(0.0)).alias("ms")).first()
-    return f"search_requests_total {x['n']}\nsearch_errors_total {x['bad']}\nsearch_latency_mean_ms {x['ms']:.3f}\nsearch_ready 1\n"
+    return f"search_requests_total {x['n']}\nsearch_errors_total {x['bad']}\nsearch_latency_mean_ms {x['ms']:.3f}\nsearch_ready {int(ready)}\n"

@@ -110,14 +110,14 @@ def test_minmax_and_alpha(spark):
 
 
 def test_access(spark):
-    known = spark.createDataFrame([(0, ["admin", "engineer"]), (1, ["admin", "engineer", "viewer"]), (2, ["admin"])], "doc_id long, roles array<string>")
-    pairs = spark.createDataFrame([(1, "viewer"), (2, "viewer"), (9, "viewer"), (9, "admin"), (1, "guest")], "doc_id long, role string")
+    known = spark.createDataFrame([(40, ["admin", "sales"]), (41, ["admin"]), (42, ["admin", "analyst", "sales"]), (43, ["analyst"])], "doc_id long, roles array<string>")
+    pairs = spark.createDataFrame([(42, "analyst"), (40, "analyst"), (77, "analyst"), (77, "admin"), (42, "guest")], "doc_id long, role string")
     got = {(r["doc_id"], r["role"]): r["allowed"] for r in acl.can_access(pairs, known).collect()}
-    assert got == {(1, "viewer"): True, (2, "viewer"): False, (9, "viewer"): False, (9, "admin"): True, (1, "guest"): False}
-    run = ranked(spark, [(1, 2, 3.0, 1), (1, 0, 2.0, 2), (1, 1, 1.0, 3)])
-    assert [(r["doc_id"], r["rank"]) for r in acl.filter_ranked(run, known, "engineer").orderBy("rank").collect()] == [(0, 1), (1, 2)]
+    assert got == {(42, "analyst"): True, (40, "analyst"): False, (77, "analyst"): False, (77, "admin"): True, (42, "guest"): False}
+    run = ranked(spark, [(1, 41, 4.0, 1), (1, 42, 3.0, 2), (1, 43, 2.0, 3), (1, 40, 1.0, 4)])
+    assert [(r["doc_id"], r["rank"]) for r in acl.filter_ranked(run, known, "sales").orderBy("rank").collect()] == [(42, 1), (40, 2)]
     assert acl.filter_ranked(run, known, None, 2).count() == 2
-    assert {r["doc_id"] for r in acl.accessible(known, "engineer").collect()} == {0, 1}
+    assert {r["doc_id"] for r in acl.accessible(known, "analyst").collect()} == {42, 43}
     made = acl.generate(spark.range(2000).withColumnRenamed("id", "doc_id"))
     assert made.where(F.array_contains("roles", "admin")).count() == 2000
     assert 0.3 < acl.accessible(made, "viewer").count() / 2000 < 0.4

@@ -98,7 +98,7 @@ def test_search(spark):
     for mode in ("hybrid", "alpha"):
         assert {r["doc_id"] for r in s.search("red fox", mode, 4, "admin", embedding=[0.0, 0.0], nprobe=2)} >= {0, 1, 3}
     assert s.search("red fox", "bm25", 2, "stranger") == []
-    assert {r["stage"] for r in s.latencies().collect()} == {"encode", "full_query"}
+    assert {r["stage"] for r in s.latencies().collect()} == {"bm25_retrieval", "vector_search", "fusion", "acl_filter", "full_query"}
     half = Search(spark, s.postings, s.lengths, s.stats)
     assert half.ready()["bm25"] and not half.ready()["hybrid"]
     assert half.search("red", "bm25", 2, "admin") != [] and half.search("red", "bm25", 2, "viewer") == []
