@@ -252,8 +252,14 @@ def train_chain(samples: list[tuple[list[str], int, int]], lex: dict[str, float]
 
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ToxicModel:
-    """Lexicon over all labelled documents; the chain on TRAIN_DOCS documents of each label, of which the driver gets the distinct short windows, as their features and counts."""
+    """Lexicon over all labelled documents; the chain on TRAIN_DOCS documents of each label, of which the driver gets the distinct short windows, as their features and counts.
+
+    Where no word tells the labels apart there is nothing to go by but how many documents are toxic, which says
+    nothing of any: the model then finds no document toxic.
+    """
     lex = lexicon(labelled, text, toxic)
+    if not lex:
+        return ToxicModel()
     spark = labelled.sparkSession
     sent = spark.sparkContext.broadcast(lex)
     known = labelled.where(F.col(text).isNotNull() & F.col(toxic).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"))
@@ -299,7 +305,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", t
     """One row for each row of docs: doc_id, held_out, score, predicted, spans (character offsets in the lower-case text).
 
     Only the text is read, to its end. Null and empty texts get the score of a text without any token;
-    repeated rows stay repeated. Without labels the lexicon is empty and no text reaches the threshold.
+    repeated rows stay repeated; ids may be null. Extra columns are not read, whatever their names. Without
+    labels the lexicon is empty and no text reaches the threshold. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     ship(spark)
