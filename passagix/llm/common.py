@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagix.sources.store import shared_dir
+
 ROOT = Path(__file__).resolve().parents[2]
 PACKAGE = Path(__file__).resolve().parents[1].name
 
@@ -19,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a new local one."""
-    said = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not said:
-        said = Path(tempfile.mkdtemp(prefix="shared-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", said)
-    return said.rstrip("/")
-
-
 #: With this set, a query's shuffle files go when it has ended, rather than when the driver happens to collect its garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

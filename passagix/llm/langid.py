@@ -155,8 +155,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMode
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, held_out, lang_pred, score, ambiguous.
 
-    Only the text is read. Null, empty and letterless texts are 'und' with score 0; without any learned
-    language all are. Ties go to the smaller language name; repeated rows stay repeated.
+    Only the text is read, to its end, whatever its length; extra columns are not, whatever their names. Null,
+    empty and letterless texts are 'und' with score 0; without any learned language all are. Ties go to the
+    smaller language name and are flagged; repeated rows stay repeated; ids may be null. An empty table gives
+    an empty one.
     """
     spark = docs.sparkSession
     ship(spark)

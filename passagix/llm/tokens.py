@@ -104,7 +104,9 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, text: str = "
     counts. cache_path names the cache's folder, which is made if there is none; two runs may append at
     once, repeats of a digest do no harm. The result reads the cache; the misses are encoded and appended
     when this is called. A shuffle brings equal digests together after each task has made its own distinct,
-    so a text of many copies is encoded once and read once for each task.
+    so a text of many copies is encoded once and read once for each task. Texts are encoded whole; rows that
+    repeat stay repeated; ids may be null. An empty table gives an empty one, and an empty cache. Columns other
+    than keep and text are not read, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -109,6 +109,15 @@ def test_neighbours(spark):
     assert ann.nearest(v.limit(0), k=5).count() == 0
 
 
+def test_neighbours_of_repeated_rows_and_of_few(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (40, [0.5, 0.5])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=20).collect():
+        got.setdefault(r["query_id"], set()).add((r["rank"], r["vec_id"], r["score"]))
+    # Fewer than k: all others, and a query is never its own neighbour.
+    assert got == {20: {(1, 3, 2.0), (2, 40, 0.5), (3, 4, 0.0)}, 40: {(1, 3, 1.0), (2, 4, 0.5), (3, 20, 0.5), (4, 20, 0.5)}}
+
+
 def _clusters(rng):
     """Tight clusters, and lone queries off all of them."""
     centres = rng.normal(size=(8, 64))
@@ -234,6 +243,46 @@ def test_languages(spark, docs, none):
     assert langid.codewords(5).shape[0] == 5 and len({tuple(w) for w in langid.codewords(30)}) == 30
 
 
+def test_languages_by_brute_force(spark):
+    """Counts of n-grams from plain slices, then bits, losses and the nearest codeword, by their formulas."""
+    rows = [(1, "Der Hund läuft 12 mal", "de"), (2, "the dog runs, the cat too", "en"), (3, "le chien  court", "fr"), (4, None, "en"), (5, "no language", None), (6, "the end", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+
+    def grams(text):
+        b = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in f" {text.lower()} ".encode())
+        b = re.sub(b" +", b" ", b)
+        return [[(int.from_bytes(b[i : i + n], "big") * 2654435761 % (1 << 32)) >> 18 for i in range(len(b) - n + 1)] for n in langid.ORDERS]
+
+    langs = ["de", "en", "fr"]
+    counts = np.full((3, len(langid.ORDERS), langid.BUCKETS), langid.SMOOTH)
+    for _, t, lang in rows:
+        if t is not None and lang is not None:
+            for o, g in enumerate(grams(t)):
+                for x in g:
+                    counts[langs.index(lang), o, x] += 1
+    assert model.languages == langs
+    p = counts / counts.sum(2, keepdims=True)
+    for text in ("der Hund", "the cat", "court le", "zzz"):
+        losses = []
+        found = grams(text)
+        n = sum(map(len, found))
+        for word in model.code:
+            loss = 0.0
+            for j in range(model.code.shape[1]):
+                ratio = np.log(p[model.code[:, j] == 1].mean(0) / p[model.code[:, j] == 0].mean(0))
+                total = sum(ratio[o, x] for o, g in enumerate(found) for x in g)
+                margin = langid.SHARPNESS * total / np.sqrt(n)
+                loss += model.weight[j] * np.log1p(np.exp(-(1 if word[j] else -1) * margin))
+            losses.append(loss / model.weight.sum())
+        e = np.exp(-np.array(losses))
+        assert model.scores(text) == pytest.approx(e / e.sum(), rel=1e-4)
+        assert model.predict(text)[0] == langs[int(np.argmin(losses))]
+    # Languages of the same texts tie: the smaller name is said, with a flag.
+    twins = langid.fit(spark.createDataFrame([(1, "same text", "b"), (2, "same text", "a")], "doc_id long, text string, lang string"))
+    assert twins.predict("same")[0] == "a" and twins.predict("same")[2]
+
+
 def test_chain_marginals_are_exact():
     import itertools
 
@@ -270,7 +319,14 @@ def test_toxicity(spark, docs, none):
     assert all(any(w in rows[s["doc_id"]][1][a:b] for w in ("slur", "insult", "threat")) for a, b in s["spans"])
     assert got[300]["predicted"] == got[301]["predicted"] == 0
     assert {r["doc_id"] for r in toxicity.reject_toxic(d, model).collect()} == {i for i, r in got.items() if not r["predicted"]}
-    assert toxicity.score_toxicity(none, model).count() == 0 and toxicity.reject_toxic(docs, model).columns == docs.columns
+    assert toxicity.score_toxicity(none, model).count() == 0
+    odd = toxicity.score_toxicity(docs, model).collect()
+    assert len(odd) == docs.count() and sum(r["doc_id"] == 64 for r in odd) == 2 and all(0 <= r["score"] <= 1 for r in odd)
+    kept = toxicity.reject_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(not r["predicted"] for r in odd) and kept.where("doc_id is null or doc_id in (62, 63)").count() == 3
+    long = spark.createDataFrame([(1, "w1 " * 40000 + "slur insult threat slur"), (2, "w1 " * 40000)], "doc_id long, text string")
+    far = {r["doc_id"]: r for r in toxicity.score_toxicity(long, model).collect()}
+    assert far[1]["score"] > far[2]["score"] and far[1]["spans"][0]["start"] >= 120_000 and not far[2]["spans"]
     assert {r["predicted"] for r in toxicity.score_toxicity(d, toxicity.fit(toxicity.labelled_documents(d, y.limit(0)))).collect()} == {0}
 
 
@@ -309,6 +365,22 @@ def _components(bits, max_bits=3):
         label = new
 
 
+def _plain_simhash(text):
+    import xxhash
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall("[^\x20\x09-\x0d]+", low)
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), seed=42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_fingerprints_of_simhash_by_their_formula(texts):
+    some = [t for _, t, *_ in texts if t is None or len(t) < 5000] + ["ÀB Ⅷ İ ßẞ one", "a\u00a0b c\x1fd e", "x y"]
+    assert [simhash.fingerprint_of(t) for t in some] == [_plain_simhash(t) for t in some]
+
+
 def test_simhash(docs, none, texts):
     got = sorted(simhash.simhash_components(docs).collect(), key=lambda r: str(r["doc_id"]))
     rows = sorted(texts, key=lambda r: str(r[0]))
