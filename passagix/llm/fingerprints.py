@@ -124,10 +124,14 @@ def _numbered(rows: DataFrame, hashes: list[int], ids: list[int]) -> DataFrame:
 
     def below(bounds: list[int]) -> Column:
         found, array = F.lit(0), F.lit(bounds) if bounds else F.array().cast("array<long>")
+
+        def up(step: int) -> Column:
+            # A one-element array binds what is found so far.
+            return F.get(F.transform(F.array(found), lambda at: F.when(F.get(array, at + F.lit(step - 1)) < F.col("id"), at + F.lit(step)).otherwise(at)), F.lit(0))
+
         step = 1 << max(0, len(bounds).bit_length() - 1)
         while step and bounds:
-            # A one-element array binds what is found so far.
-            found = F.get(F.transform(F.array(found), lambda at, step=step: F.when(F.get(array, at + F.lit(step - 1)) < F.col("id"), at + F.lit(step)).otherwise(at)), F.lit(0))
+            found = up(step)
             step >>= 1
         return found
 

@@ -528,6 +528,13 @@ def test_fingerprints(docs, none, texts):
     assert by_id[3]["fingerprint"] == by_id[60]["fingerprint"]
 
 
+def test_ranges_of_ids(spark):
+    rows = spark.range(100).selectExpr("id", "id >= 30 as known")
+    ids, hashes = [40, 50, 60, 75, 90], [5, 10, 20]
+    got = {r["id"]: r["range"] for r in fingerprints._numbered(rows, hashes, ids).collect()}
+    assert all(got[i] == (sum(b < i for b in ids) + 4 if i >= 30 else sum(b < i for b in hashes)) for i in range(100))
+
+
 def test_sketches_merge_and_contain():
     rng = random.Random(6)
     w = [f"w{i}" for i in range(4000)]
