@@ -598,3 +598,16 @@ def test_nothing_else_imports_the_subpackage():
     for p in (top / "passagix").rglob("*.py"):
         if "llm" not in p.relative_to(top).parts:
             assert "passagix.llm" not in p.read_text()
+
+
+def test_rarity_stands_in_no_plan(docs, monkeypatch):
+    """The driver keeps many copies of each plan's text."""
+    sizes = []
+
+    def seen(df, name, **options):
+        sizes.append(len(df._jdf.queryExecution().toString()))
+        return settled(df, name, **options)
+
+    monkeypatch.setattr(lines, "settled", seen)
+    lines.removed_lines(docs)
+    assert sizes and max(sizes) < 200_000
