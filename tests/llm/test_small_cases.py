@@ -611,3 +611,22 @@ def test_rarity_stands_in_no_plan(docs, monkeypatch):
     monkeypatch.setattr(lines, "settled", seen)
     lines.removed_lines(docs)
     assert sizes and max(sizes) < 200_000
+
+
+def test_words_of_lines_with_odd_blanks(spark):
+    texts = ["a B c", " a b", "a b ", "a  b", "\ta\x0bb\x0c", "a\r", "\x0b", " ", "", "é a b", "\x0b x", "a \t b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["line"]: r["w"] for r in lines.split_lines(docs, "doc_id", "text").select("line", lines.words_of("line").alias("w")).collect()}
+    assert got == {t: re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for t in texts if t.strip(lines.BLANKS)}
+
+
+def test_sets_are_not_sorted_to_move(docs, monkeypatch):
+    plans = []
+
+    def seen(df, name, **options):
+        plans.extend([df._jdf.queryExecution().executedPlan().toString()] if name == "sets" else [])
+        return settled(df, name, **options)
+
+    monkeypatch.setattr(lines, "settled", seen)
+    lines.removed_lines(docs)
+    assert len(plans) == lines.PARTS and all("ShuffledHashJoin" in p and "SortMergeJoin" not in p for p in plans)
