@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagix.llm.common import settled, ship, table
+from passagix.llm.common import ship, table
 
 SHINGLE_WORDS = 5
 #: One hash in SCALE is kept.
@@ -27,6 +27,8 @@ SCALE = 8
 SEED = 0
 #: Bytes of input for each range of ids, about; texts take a few times as much.
 RANGE_BYTES = 32 << 20
+#: Bytes of results that a Python worker hands on at once.
+BATCH_BYTES = 4 << 20
 
 
 def sketch(text: str | None, shingle_words: int = SHINGLE_WORDS, scale: int = SCALE) -> np.ndarray:
@@ -99,13 +101,17 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, -(-size // RANGE_BYTES)) if size < 1 << 62 else 1)
     ranged = _numbered(rows, *_bounds(rows, ranges))
     # One row for each range, of which there are no more than twice as many as partitions: its first document, and which range comes before.
-    heads = settled(ranged.groupBy("range").agg(F.min(F.struct("id", "h")).alias("first")), "heads")
-    before = heads.selectExpr("range", "first.id as head_id", "first.h as head_h", "coalesce(lag(range) over (order by range), max(range) over ()) as before")
+    # The driver holds them, as it does the bounds: a table of them would be a file, and processes that set its mode, for each range.
+    heads = sorted(ranged.groupBy("range").agg(F.min(F.struct("id", "h")).alias("first")).selectExpr("range", "first.id", "first.h").collect())
+    columns = list(zip(*((r, i, h, heads[at - 1][0]) for at, (r, i, h) in enumerate(heads)), strict=True)) or [()] * 4
+    kinds = {"range": pa.int32(), "head_id": pa.int64(), "head_h": pa.int64(), "before": pa.int32()}
+    before = spark.createDataFrame(pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)}))
     copies = F.when((F.col("id") == F.col("head_id")) & (F.col("h") == F.col("head_h")), F.array(F.struct(F.col("range"), F.lit(0).alias("last")), F.struct(F.col("before").alias("range"), F.lit(1).alias("last")))).otherwise(F.array(F.struct(F.col("range"), F.lit(0).alias("last"))))
     both = (
         ranged.join(F.broadcast(before), "range")
         .select("doc_id", "id", "h", "text", F.inline(copies))
-        .repartition(ranges, "range")
+        # By number, not by its hash, which puts several ranges into one task and none into others.
+        .repartitionById(ranges, F.pmod("range", F.lit(ranges)))
         .sortWithinPartitions("range", "last", "id", "h")
         .select("range", "last", "doc_id", "text")
     )
@@ -139,12 +145,17 @@ def _numbered(rows: DataFrame, hashes: list[int], ids: list[int]) -> DataFrame:
 
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are taken from a batch one at a time, and results go on by their bytes, so that a worker's memory does not grow with a batch's rows."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_hashes"]
+    types = (pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64())
+    full = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
     before: tuple | None = None
     at = None
+    out: list[tuple] = []
+    held = 0
     for batch in batches:
-        out: list[tuple] = []
-        for group, last, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for row in range(batch.num_rows):
+            group, last, doc, text = (batch.column(i)[row].as_py() for i in range(4))
             if group != at or (last and before is None):
                 at, before = group, None
             if last and before is None:
@@ -156,9 +167,13 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edited = text0[: len(text0) - half] + text[:half]
                 changed = sketch(edited)
                 out.append((doc0, len(text0), hashlib.sha256(edited.encode()).hexdigest(), to_text(own0), to_text(changed), likeness(own0, changed), likeness(own0, own), len(own0)))
+                held += 16 * (len(own0) + len(changed)) + 200
+                if held >= BATCH_BYTES:
+                    yield full()
+                    out, held = [], 0
             before = None if last else (doc, text, own)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()), strict=True)], names=names)
+    if out:
+        yield full()
 
 
 def op9_document_fingerprints(spark, sf_dir: str) -> DataFrame:

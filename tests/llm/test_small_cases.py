@@ -7,7 +7,9 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from passagix.llm import ann, fingerprints, langid, licenses, lines, mixing, packing, simhash, tokens, toxicity
 from passagix.llm.common import settled, shared_dir
@@ -528,6 +530,28 @@ def test_fingerprints(docs, none, texts):
     assert by_id[3]["fingerprint"] == by_id[60]["fingerprint"]
 
 
+def test_fingerprints_hand_on_by_bytes(monkeypatch):
+    monkeypatch.setattr(fingerprints, "BATCH_BYTES", 1 << 16, raising=False)
+    rng = random.Random(8)
+    rows = [" ".join(str(rng.random()) for _ in range(800)) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"range": [1] * 201, "last": [0] * 200 + [1], "doc_id": [*range(200), 0], "text": [*rows, rows[0]]})
+    out = list(fingerprints._edits(iter([batch.slice(0, 150), batch.slice(150)])))
+    assert max(b.nbytes for b in out) < 1 << 17
+    got = pa.Table.from_batches(out).to_pydict()
+    assert got["doc_id"] == list(range(200))
+    assert got["fingerprint"] == [fingerprints.to_text(fingerprints.sketch(t)) for t in rows]
+    assert got["near_next"] == [fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(b)) for a, b in zip(rows, [*rows[1:], rows[0]], strict=True)]
+
+
+def test_fingerprint_ranges_write_no_table_and_share_no_task(spark):
+    files = lambda: sum(p.is_file() for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*"))
+    docs = settled(spark.range(400).selectExpr("id as doc_id", "repeat(cast(id as string), 5) as text"), "docs")
+    before = files()
+    got = fingerprints.fingerprint_edits(docs).groupBy(F.spark_partition_id()).count().collect()
+    assert files() == before
+    assert len(got) == 4 and all(90 <= r["count"] <= 110 for r in got)
+
+
 def test_ranges_of_ids(spark):
     rows = spark.range(100).selectExpr("id", "id >= 30 as known")
     ids, hashes = [40, 50, 60, 75, 90], [5, 10, 20]
