@@ -654,3 +654,32 @@ def test_sets_are_not_sorted_to_move(docs, monkeypatch):
     monkeypatch.setattr(lines, "settled", seen)
     lines.removed_lines(docs)
     assert len(plans) == lines.PARTS and all("ShuffledHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+
+
+def test_long_lines_that_share_little_do_not_meet(spark):
+    """Some 150 words each, of 600: prefixes share words, and sets differ in far more words than 64 bits can show."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(600)], rng.randint(140, 160))) for _ in range(80)]
+    # Near copies, round the length from which parities are wider, and on both sides of it.
+    for n in (*range(82, 100, 2), 150, 180):
+        base = [f"n{n}_{i}" for i in range(n)]
+        texts += [" ".join(base), " ".join([*base[: n - 8], *(f"x{n}_{i}" for i in range(rng.randint(0, 12)))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = settled(lines.line_classes(docs), "classes")
+    every = settled(lines.postings(classes, lines.rarity(classes)), "postings")
+    pairs = every.alias("x").join(every.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.c1") < F.col("y.c1")))
+    sets = [frozenset(t.split()) for t in texts]
+    close = lambda i, j: len(sets[i] & sets[j]) * 9 >= 4 * (len(sets[i]) + len(sets[j]))
+    similar = sum(close(i, j) for i in range(len(sets)) for j in range(i))
+    met = pairs.where(lines._may_match()).select("x.c1", "y.c1").distinct().count()
+    assert pairs.select("x.c1", "y.c1").distinct().count() > 1000 and similar <= met <= similar + 20
+    got = lines.removed_lines(docs).where("n_removed = 1").collect()
+    assert {r["doc_id"] for r in got} == {i for i in range(len(sets)) if any(close(i, j) for j in range(i))}
+
+
+def test_marks_of_classes_that_met(spark):
+    met = settled(spark.range(0, 40000, 2).selectExpr("xxhash64(id) as c1"), "met")
+    marks, marked = lines._marks(met)
+    classes = spark.range(40000).selectExpr("id", "xxhash64(id) as c1").withColumn("marks", marks.scalar())
+    got = {r["id"] for r in classes.where(marked).collect()}
+    assert set(range(0, 40000, 2)) <= got and len(got) < 28000
