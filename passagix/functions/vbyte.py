@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,6 +57,30 @@ def size(n: str | Column) -> Column:
     return F.lit(1) + sum((c >= 1 << k).cast("int") for k in range(7, 63, 7))
 
 
+def encode_gaps(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of many numbers as bytes, and the bytes that each takes."""
+    if len(gaps) and gaps.min() < 0:
+        raise ValueError("negative numbers have no code")
+    n = np.ones(len(gaps), np.int64)
+    for k in range(7, 63, 7):
+        n += gaps >= 1 << k
+    out, start = np.empty(n.sum(), np.uint8), np.cumsum(n) - n
+    for i in range(n.max(initial=0)):
+        has = n > i
+        out[start[has] + i] = (gaps[has] >> (7 * i) & 127) | np.where(n[has] > i + 1, 128, 0)
+    return out, n
+
+
+def decode_gaps(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of many codes, and the place after each."""
+    end = np.flatnonzero(data < 128) + 1
+    if not len(end):
+        return np.empty(0, np.int64), end
+    start = np.r_[0, end[:-1]]
+    shift = 7 * (np.arange(end[-1]) - np.repeat(start, end - start))
+    return np.add.reduceat((data[: end[-1]] & 127).astype(np.int64) << shift, start), end
+
+
 @F.pandas_udf(T.BinaryType())
 def encode_column(lists: pd.Series) -> pd.Series:
     """encode_sorted of an array column, by Arrow batches."""

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from passagix.operators import bm25, fusion, metrics, postings, vectors
+from passagix.functions import vbyte
+from passagix.operators import bm25, chunking, fusion, metrics, postings, vectors
 
 
 def texts(spark, n=60, words=25, seed=5):
@@ -97,3 +100,41 @@ def test_searches_without_pairs(spark, monkeypatch):
     for n, recall in swept.items():
         hits = [sum(x[2] % 7 == i % 7 for x in best(i, pq, [d for d in at if cell[d] in near[i][:n]], 20)) / len(range(i % 7, 150, 7)) for i in near]
         assert abs(recall - sum(hits) / len(hits)) < 1e-9
+
+
+def test_chunks_by_id(spark):
+    d = texts(spark)
+    chunks = chunking.chunk_passages(d, 10, 4)
+    ids = ["3_0", "3_1", "3_1", "5_0", "5_99", "81_0", "7_01", "x_0", "_", "3_99999999999", "900_0"]
+    wanted = spark.createDataFrame([(i,) for i in ids], "chunk_id string")
+    got = chunking.chunks_of(d, wanted, 10, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunks.join(wanted, "chunk_id").select(*got.columns).collect()))
+    assert not [n for n in str(got._jdf.queryExecution().optimizedPlan()).split("\n") if "Join" in n and "chunk_id" in n]  # texts meet ids uncut
+
+
+def test_posting_codes_in_batches(spark):
+    rng = random.Random(2)
+    rows = [(t, i) for t in ("a", "b", "c d") for i in rng.sample([*range(300), *range(65400, 65800), 1 << 40], 400)] + [("z", 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        blocks = postings.vbyte_blocks(spark.createDataFrame(rows, "term string, doc_id long"))
+        lists = {}
+        for t, i in sorted(rows):
+            lists.setdefault((t, i >> 16), []).append(i & 65535)
+        assert {(r["term"], r["block"]): (r["n"], bytes(r["code"])) for r in blocks.collect()} == {k: (len(x), vbyte.encode_sorted(x)) for k, x in lists.items()}
+        assert sorted(map(tuple, postings.from_vbyte_blocks(blocks).collect())) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not postings.vbyte_blocks(spark.createDataFrame([], "term string, doc_id long")).collect()
+    assert "Aggregate" not in blocks._jdf.queryExecution().optimizedPlan().toString()  # no list is gathered
+
+
+def test_gaps():
+    rng = random.Random(1)
+    n = np.array([rng.randrange(1 << rng.randint(1, 62)) for _ in range(500)] + [0, 127, 128, 1 << 62], np.int64)
+    data, sizes = vbyte.encode_gaps(n)
+    assert bytes(data) == b"".join(vbyte.encode(int(x)) for x in n) and sizes.tolist() == [len(vbyte.encode(int(x))) for x in n]
+    back, end = vbyte.decode_gaps(data)
+    assert back.tolist() == n.tolist() and end.tolist() == np.cumsum(sizes).tolist()
+    with pytest.raises(ValueError):
+        vbyte.encode_gaps(np.array([3, -1]))
